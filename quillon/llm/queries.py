@@ -7,8 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
-from .tables import table
+from . import bpe, quality, secrets
+from .tables import id_remainder, table
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(quality.sample(docs, labels, "quality", id_remainder("doc_id", 5) != 0), "quality")
+    out = quality.scored(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +27,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_bpe": op10_bpe}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_secrets": op5_secrets, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
 
 SQL: dict[str, str] = {}

@@ -1,0 +1,337 @@
+"""Secret scans: base patterns, and a character convolutional network over every other candidate and its context.
+
+Base kinds are found as leftmost non-overlapping matches of each pattern, shorter ones dropped.  A candidate for the
+network is any maximal run of at least `RUN` characters of A-Z a-z 0-9 + / _ = - that has a letter and a digit and meets
+no base span.  The network sees up to 48 bytes of the candidate and 24 bytes of text on each side.  It is written and
+trained in numpy on labelled findings; its scores are calibrated (Platt scaling) on findings that it was not trained on,
+and the threshold is the one with the fewest false alarms of those that keep the wanted recall there.
+
+Texts are scanned as UTF-8 bytes: every character of the patterns is ASCII, so matches are the same as over code points;
+spans are given in code points, end exclusive.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from .words import Texts, blocks
+
+# The base patterns and their least lengths.
+ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
+ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
+LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
+KINDS = ("assign", "access", "hex", "network")
+
+RUN = 16
+SIDE, BODY = 24, 48
+WIDTH = SIDE + BODY + SIDE
+
+
+def _table(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars)] = True
+    return out
+
+
+DIGITS = _table(b"0123456789")
+LETTERS = _table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+HEX = _table(b"0123456789abcdef")
+BODY_CHARS = DIGITS | LETTERS | _table(b"+/_=-")
+SIGN = _table(b":=")
+
+
+def runs(texts: Texts, wanted: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of maximal runs of wanted bytes within a text, of at least `least` bytes."""
+    data, offsets = texts
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    yes = wanted[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offsets] = True
+    start = yes.copy()
+    start[1:] &= ~yes[:-1] | cut[1:-1]
+    end = yes.copy()
+    end[:-1] &= ~yes[1:] | cut[1:-1]
+    start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
+    long = end - start >= least
+    return start[long], end[long]
+
+
+def base_spans(texts: Texts) -> list[tuple[int, int, int, int]]:
+    """(text, start, kind, end) of all base matches, as bytes of Texts.data, in order of text, start and kind."""
+    data, offsets = texts
+    found = []
+    start, end = runs(texts, HEX, LEAST_HEX)
+    found += zip(np.searchsorted(offsets, start, "right") - 1, start, [2] * len(start), end, strict=True)
+    signs = np.flatnonzero(SIGN[data])
+    for i in np.unique(np.searchsorted(offsets, signs, "right") - 1):
+        at = offsets[i]
+        found += [(i, at + m.start(), 0, at + m.end()) for m in ASSIGN.finditer(texts.text(i)) if m.end(2) - m.start(2) >= LEAST_ASSIGN]
+    whole, at, met = data.tobytes(), 0, []
+    while (at := whole.find(b"AKIA", at)) >= 0:
+        met.append(at)
+        at += 4
+    for i in np.unique(np.searchsorted(offsets, np.array(met, np.int64), "right") - 1):
+        at = offsets[i]
+        found += [(i, at + m.start(), 1, at + m.end()) for m in ACCESS.finditer(texts.text(i)) if m.end() - m.start() >= LEAST_ACCESS]
+    return sorted((int(a), int(b), c, int(d)) for a, b, c, d in found)
+
+
+def candidates(texts: Texts, taken: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs that the network is asked about."""
+    start, end = runs(texts, BODY_CHARS, RUN)
+    if not len(start):
+        return start, end
+    digits, letters = (np.append(0, np.cumsum(t[texts.data], dtype=np.int32)) for t in (DIGITS, LETTERS))
+    keep = (digits[end] > digits[start]) & (letters[end] > letters[start])
+    if taken:
+        spans = sorted((b, d) for _, b, _, d in taken)
+        lo = np.array([b for b, _ in spans])
+        hi = np.maximum.accumulate(np.array([d for _, d in spans]))
+        before = np.searchsorted(lo, end, "left")
+        keep &= ~((before > 0) & (hi[np.maximum(before - 1, 0)] > start))
+    return start[keep], end[keep]
+
+
+def windows(texts: Texts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """What the network sees of each candidate: byte values 1-127, 128 for other bytes, 0 where there is none."""
+    data, offsets = texts
+    of = np.searchsorted(offsets, start, "right") - 1
+    lo, hi = offsets[of][:, None], offsets[of + 1][:, None]
+    step = np.arange(WIDTH)
+    at = np.where(step < SIDE + BODY, start[:, None] - SIDE + step, end[:, None] + step - SIDE - BODY)
+    there = (at >= lo) & (at < hi) & ((step < SIDE) | (step >= SIDE + BODY) | (at < end[:, None]))
+    return np.where(there, np.minimum(data[np.clip(at, 0, max(len(data) - 1, 0))], 128), 0).astype(np.uint8)
+
+
+class Finding(NamedTuple):
+    before: str
+    body: str
+    after: str
+    secret: bool
+
+
+def labelled_findings(n: int = 2400, seed: int = 5) -> list[Finding]:
+    """Findings labelled by how they were made, half of them secrets: random keys, tokens and digests in code, settings
+    and prose against words, numbers, names, paths, dates and identifiers in the same places."""
+    rnd = random.Random(seed)
+    lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    parts = ["th", "er", "on", "an", "in", "re", "ed", "tion", "able", "user", "data", "node", "page", "test", "item", "ver"]
+
+    def some(chars: str, lo: int, hi: int) -> str:
+        return "".join(rnd.choices(chars, k=rnd.randint(lo, hi)))
+
+    def word() -> str:
+        return "".join(rnd.choices(parts, k=rnd.randint(1, 4)))
+
+    def prose(k: int) -> str:
+        return " ".join(word() for _ in range(k))
+
+    secret = [
+        lambda: some(lower + upper + digit, 20, 48),
+        lambda: some(lower + upper + digit + "+/", 28, 60) + "=" * rnd.randint(0, 2),
+        lambda: some("0123456789abcdef", 24, 64),
+        lambda: some("0123456789ABCDEF", 24, 64),
+        lambda: rnd.choice(["ghp_", "sk_live_", "xoxb-", "glpat-", "pk_"]) + some(lower + upper + digit, 20, 40),
+        lambda: some(lower + digit, 24, 40),
+        lambda: some(upper + digit, 18, 40),
+    ]
+    plain = [
+        lambda: "_".join(word() for _ in range(rnd.randint(3, 5))) + some(digit, 1, 3),
+        lambda: "-".join([some(digit, 4, 4), some(digit, 2, 2), some(digit, 2, 2)]) + "-" + word() + word(),
+        lambda: "/".join(word() for _ in range(rnd.randint(3, 6))) + "/" + some(digit, 1, 4),
+        lambda: some(digit, 14, 20) + rnd.choice(["ms", "px", "kg", "th"]),
+        lambda: word() + word() + word() + word() + some(digit, 1, 4),
+        lambda: word().upper() + "_" + word().upper() + "_" + word().upper() + some(digit, 1, 2),
+        lambda: "=" * rnd.randint(12, 30) + word() + some(digit, 1, 1),
+        lambda: "1" * rnd.randint(10, 20) + "a" * rnd.randint(8, 16),
+    ]
+    around = [lambda: (prose(4) + " ", " " + prose(4)), lambda: (word() + "=", "\n" + prose(3)), lambda: (prose(2) + ' "', '" ' + prose(2)), lambda: ("key: ", "\n"), lambda: ("", ""), lambda: (prose(3) + " (", ") " + prose(3))]
+    out = []
+    for k in range(n):
+        before, after = rnd.choice(around)()
+        body = rnd.choice(secret if k % 2 else plain)()
+        while not (any(c in digit for c in body) and any(c.isalpha() for c in body) and len(body) >= RUN):
+            body += rnd.choice(digit) + (some(lower + digit, 4, 8) if k % 2 else word())
+        out.append(Finding(before, body, after, bool(k % 2)))
+    return out
+
+
+class Network:
+    """Characters as learnt vectors, one convolution, the largest response in each of the three parts, one output."""
+
+    def __init__(self, dim: int = 8, filters: int = 24, width: int = 5, seed: int = 3):
+        rnd = np.random.default_rng(seed)
+        self.width, self.dim = width, dim
+        self.w = {"e": rnd.normal(0, 0.3, (129, dim)), "c": rnd.normal(0, (2 / (dim * width)) ** 0.5, (width * dim, filters)), "b": np.zeros(filters), "o": rnd.normal(0, 0.1, 4 * filters), "z": np.zeros(1)}
+        self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
+        self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
+
+    def _forward(self, x: np.ndarray):
+        e = self.w["e"][x]
+        e[x == 0] = 0
+        n, steps = len(x), WIDTH - self.width + 1
+        u = np.concatenate([e[:, k : k + steps] for k in range(self.width)], axis=2).reshape(n * steps, -1)
+        r = np.maximum(u @ self.w["c"] + self.w["b"], 0).reshape(n, steps, -1)
+        cuts = (slice(0, SIDE - 2), slice(SIDE - 2, SIDE + BODY - 2), slice(SIDE + BODY - 2, steps))
+        tops = [r[:, c].argmax(axis=1) + c.start for c in cuts]
+        pooled = [np.take_along_axis(r, t[:, None], axis=1)[:, 0] for t in tops]
+        size = np.maximum((x[:, SIDE : SIDE + BODY] > 0).sum(axis=1), 1).astype(np.float32)
+        mean = r[:, cuts[1]].sum(axis=1) / size[:, None]
+        p = np.concatenate([*pooled, mean], axis=1)
+        return p @ self.w["o"] + self.w["z"][0], (u, r, cuts, tops, size, p)
+
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        parts = [self._forward(x[i : i + 256])[0] for i in range(0, len(x), 256)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.float32)
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -35, 35)))
+
+    def train(self, x: np.ndarray, y: np.ndarray, passes: int = 3, batch: int = 64, rate: float = 0.004, seed: int = 11) -> None:
+        rnd = np.random.default_rng(seed)
+        m1, m2 = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
+        t = 0
+        for _ in range(passes):
+            order = rnd.permutation(len(x))
+            for at in range(0, len(x), batch):
+                k = order[at : at + batch]
+                t += 1
+                for name, g in self._gradients(x[k], y[k]).items():
+                    m1[name] += 0.1 * (g - m1[name])
+                    m2[name] += 0.001 * (g * g - m2[name])
+                    self.w[name] -= rate * (m1[name] / (1 - 0.9**t)) / (np.sqrt(m2[name] / (1 - 0.999**t)) + 1e-8)
+
+    def _gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        z, (u, r, cuts, tops, size, p) = self._forward(x)
+        d = ((1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / len(x)).astype(np.float32)
+        back = d[:, None] * self.w["o"]
+        f = r.shape[2]
+        dr = np.zeros_like(r)
+        rows = np.arange(len(x))[:, None]
+        for j, t in enumerate(tops):
+            dr[rows, t, np.arange(f)] += back[:, j * f : (j + 1) * f]
+        dr[:, cuts[1]] += (back[:, 3 * f :] / size[:, None])[:, None]
+        dr[r <= 0] = 0
+        flat = dr.reshape(-1, f)
+        du = (flat @ self.w["c"].T).reshape(len(x), r.shape[1], self.width, self.dim)
+        de = np.zeros_like(self.w["e"])
+        for k in range(self.width):
+            np.add.at(de, x[:, k : k + r.shape[1]], du[:, :, k])
+        de[0] = 0
+        return {"e": de, "c": u.T @ flat, "b": flat.sum(axis=0), "o": p.T @ d, "z": d.sum(keepdims=True)}
+
+    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
+        """Fit scale and shift by Newton steps; then, of the thresholds that keep the recall, take the lowest of those with
+        the fewest false alarms."""
+        z, a, b = self.logits(x).astype(np.float64), 1.0, 0.0
+        for _ in range(25):
+            p = 1 / (1 + np.exp(-np.clip(a * z + b, -35, 35)))
+            v = p * (1 - p) + 1e-6
+            g = np.array([((p - y) * z).sum() + 1e-2 * (a - 1), (p - y).sum()])
+            h = np.array([[(v * z * z).sum() + 1e-2, (v * z).sum()], [(v * z).sum(), v.sum()]])
+            step = np.linalg.solve(h, g)
+            a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
+        self.scale, self.shift = float(a), float(b)
+        p = self.probabilities(x)
+        good, bad = np.sort(p[y == 1]), np.sort(p[y == 0])
+        if not len(good):
+            return
+        allowed = good[: int((1 - recall) * len(good)) + 1]
+        wrong = len(bad) - np.searchsorted(bad, allowed, "left")
+        least = allowed[np.argmin(wrong)]
+        below = bad[bad < least]
+        self.threshold = float((least + below[-1]) / 2 if len(below) else least / 2)
+
+
+def train(findings: list[Finding], recall: float = 0.98) -> Network:
+    """A network trained on three of four findings and calibrated on the fourth."""
+    if not findings:
+        raise ValueError("no labelled findings")
+    seen = []
+    for f in findings:
+        before, body, after = (s.encode() for s in f[:3])
+        data = np.frombuffer(before + body + after, np.uint8)
+        seen.append(windows(Texts(data, np.array([0, len(data)])), np.array([len(before)]), np.array([len(before) + len(body)]))[0])
+    x, y = np.stack(seen), np.array([f.secret for f in findings], np.float32)
+    held = np.arange(len(x)) % 8 >= 6
+    net = Network()
+    net.train(x[~held], y[~held])
+    net.calibrate(x[held], y[held], recall)
+    return net
+
+
+def all_spans(texts: Texts, net: Network) -> list[tuple[int, int, int, int]]:
+    """Base spans and the network's, as base_spans() gives them."""
+    found = base_spans(texts)
+    start, end = candidates(texts, found)
+    yes = net.probabilities(windows(texts, start, end)) >= net.threshold if len(start) else np.zeros(0, bool)
+    of = np.searchsorted(texts.offsets, start[yes], "right") - 1
+    return sorted([*found, *zip(of.tolist(), start[yes].tolist(), [3] * int(yes.sum()), end[yes].tolist(), strict=True)])
+
+
+def default_network(spark: SparkSession, findings: list[Finding] | None = None, recall: float = 0.98):
+    """Trained on the driver, from findings of a fixed number, and broadcast."""
+    return spark.sparkContext.broadcast(train(findings or labelled_findings(), recall))
+
+
+def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), findings: list[Finding] | None = None, recall: float = 0.98) -> DataFrame:
+    """A row for each document: keep, n_assign, n_access, n_hex, n_network, base_sha256, spans.
+
+    spans lists kind:start:end by start, then kind, comma-joined; base_sha256 is the digest of the base spans alone.  A
+    null text counts as empty: no spans, an empty list.  Repeated rows give repeated results.  A map over partitions.
+    """
+    shared = default_network(docs.sparkSession, findings, recall)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in blocks(batches, "__text"):
+            spans: list[list[tuple[int, int, int]]] = [[] for _ in range(batch.num_rows)]
+            found = all_spans(texts, shared.value)
+            inner = np.append(0, np.cumsum((texts.data & 0xC0) == 0x80)) if found else None
+            for i, start, kind, end in found:
+                at = texts.offsets[i]
+                spans[i].append((int(start - at - (inner[start] - inner[at])), kind, int(end - at - (inner[end] - inner[at]))))
+            counts = [pa.array([sum(s[1] == k for s in x) for x in spans], pa.int64()) for k in range(4)]
+            text_of = lambda x, last: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in x if k <= last)
+            base = pa.array([hashlib.sha256(text_of(x, 2).encode()).hexdigest() for x in spans])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *counts, base, pa.array([text_of(x, 3) for x in spans], pa.string())], names)
+
+    names = [*keep, "n_assign", "n_access", "n_hex", "n_network", "base_sha256", "spans"]
+    fields = [docs.schema[k] for k in keep] + [T.StructField(n, T.LongType()) for n in names[len(keep) : -2]] + [T.StructField(n, T.StringType()) for n in names[-2:]]
+    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, T.StructType(fields))
+
+
+def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", findings: list[Finding] | None = None, recall: float = 0.98) -> DataFrame:
+    """docs, all columns and rows, each found span (overlapping ones as one) replaced by the mark; a null text stays null."""
+    shared = default_network(docs.sparkSession, findings, recall)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in blocks(batches, text):
+            found = all_spans(texts, shared.value)
+            if not found:
+                yield batch
+                continue
+            k = names.index(text)
+            values = batch.column(k).to_pylist()
+            spans: dict[int, list[list[int]]] = {}
+            for i, start, _, end in found:
+                mine = spans.setdefault(i, [])
+                if mine and start < mine[-1][1]:
+                    mine[-1][1] = max(mine[-1][1], end)
+                else:
+                    mine.append([start, end])
+            for i, mine in spans.items():
+                cuts = [texts.offsets[i], *(x for s in mine for x in s), texts.offsets[i + 1]]
+                values[i] = mark.join(texts.data[a:b].tobytes().decode() for a, b in zip(cuts[::2], cuts[1::2], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(values, batch.column(k).type) if j == k else c for j, c in enumerate(batch.columns)], names)
+
+    return docs.mapInArrow(run, docs.schema)
