@@ -87,7 +87,7 @@ def items(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") ->
     return written(cut.withColumn("__f", _simhash("__b")))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = 0.8, radius: int = 22, max_constants: int = 200_000, broadcast_rows: int = 500_000) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = 0.8, radius: int = 22, max_constants: int = 200_000, broadcast_rows: int = 50_000) -> DataFrame:
     """Pairs of a document and a benchmark item that a window of it matches: doc_id, item_id, similarity (the highest of
     its windows), n_windows (matching windows that start at a shared shingle), first_word (the first one's start, from
     0).  Documents without a match have no row.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, quality, secrets
+from . import bpe, decontaminate, jaccard, quality, repeats, secrets
 from .tables import id_remainder, table
 
 
@@ -23,6 +23,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.train(quality.sample(docs, labels, "quality", id_remainder("doc_id", 5) != 0), "quality")
@@ -35,6 +39,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontamination": op1_decontamination, "op4_jaccard": op4_jaccard, "op5_secrets": op5_secrets, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontamination": op1_decontamination, "op4_jaccard": op4_jaccard, "op5_secrets": op5_secrets, "op7_repeats": op7_repeats, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
 
 SQL: dict[str, str] = {}
