@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, licenses, quality, repeats, secrets, warc
+from . import bpe, decontaminate, imatch, jaccard, licenses, quality, repeats, secrets, warc
 from .tables import id_remainder, table
 
 
@@ -35,6 +35,10 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.train(quality.sample(docs, labels, "quality", id_remainder("doc_id", 5) != 0), "quality")
@@ -47,6 +51,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontamination": op1_decontamination, "op3_licenses": op3_licenses, "op4_jaccard": op4_jaccard, "op5_secrets": op5_secrets, "op6_warc": op6_warc, "op7_repeats": op7_repeats, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontamination": op1_decontamination, "op3_licenses": op3_licenses, "op4_jaccard": op4_jaccard, "op5_secrets": op5_secrets, "op6_warc": op6_warc, "op7_repeats": op7_repeats, "op8_imatch": op8_imatch, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
 
 SQL: dict[str, str] = {}
