@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, imatch, jaccard, licenses, quality, repeats, secrets, warc
+from . import bpe, decontaminate, imatch, jaccard, katz, licenses, quality, repeats, secrets, warc
 from .tables import id_remainder, table
 
 
@@ -15,6 +15,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(table(spark, sf_dir, "documents"), id_remainder("doc_id", 7) == 2)
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
 
@@ -51,6 +55,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontamination": op1_decontamination, "op3_licenses": op3_licenses, "op4_jaccard": op4_jaccard, "op5_secrets": op5_secrets, "op6_warc": op6_warc, "op7_repeats": op7_repeats, "op8_imatch": op8_imatch, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontamination": op1_decontamination, "op2_katz": op2_katz, "op3_licenses": op3_licenses, "op4_jaccard": op4_jaccard, "op5_secrets": op5_secrets, "op6_warc": op6_warc, "op7_repeats": op7_repeats, "op8_imatch": op8_imatch, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
 
 SQL: dict[str, str] = {}
