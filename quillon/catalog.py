@@ -457,11 +457,11 @@ def lossy_state(spark, sf_dir):
     return lossy.state(_events(spark, sf_dir), "item", "seq", LOSSY)
 
 
-@query(f"SELECT item, e.f::BIGINT AS f, e.d::BIGINT AS delta FROM ({_FOLD}) WHERE e.f + e.d > total // {LOSSY.width} AND e.f >= ceil(round((0.015 - 0.01) * total, 9))")
+@query(f"SELECT item, e.f::BIGINT AS f, e.d::BIGINT AS delta FROM ({_FOLD}) WHERE e.f + e.d > total // {LOSSY.width} AND e.f >= ceil(round((0.0105 - 0.01) * total, 9))")
 def lossy_query(spark, sf_dir):
     events = _events(spark, sf_dir)
     n = events.count()
-    return lossy.query(lossy.state(events, "item", "seq", LOSSY, n), 0.015, LOSSY, n)
+    return lossy.query(lossy.state(events, "item", "seq", LOSSY, n), 0.0105, LOSSY, n)
 
 
 @query(f"""WITH RECURSIVE w AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY b) AS k FROM ({_LOSSY})),

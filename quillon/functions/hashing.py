@@ -44,8 +44,8 @@ def hashed(col: Column | str, salt: int = 0, family: str = "xxhash64") -> Column
 
 
 def constant(salt: int, family: str = "xxhash64") -> Column:
-    """H(salt) of no element."""
-    return hashed(F.lit(""), salt, family)
+    """H(salt) of no element, which is the empty string, or 0 where only integers are hashed."""
+    return hashed(F.lit(0 if family == "sip13" else ""), salt, family)
 
 
 def constant_md5(salt: int) -> int:

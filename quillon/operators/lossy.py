@@ -13,16 +13,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.params import LossyParams
 
-_BY = Window.partitionBy("item").orderBy("b")
-
-
 def _windows(df: DataFrame, col: str, seq: str, params: LossyParams) -> DataFrame:
     """item, b, cnt, first (the first seq), before (the item's count before), starts (whether an entry begins here)."""
     b = F.ceil(F.col(seq) / F.lit(params.width)).cast("bigint")
     counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("item"), b.alias("b")).agg(F.count("*").alias("cnt"), F.min(seq).alias("first"))
-    before = F.coalesce(F.sum("cnt").over(_BY.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    earlier = Window.partitionBy("item").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("cnt").over(earlier), F.lit(0))
     made = counts.withColumn("before", before).withColumn("g", F.col("before") - F.col("b"))
-    least = F.min("g").over(_BY.rowsBetween(Window.unboundedPreceding, -1))
+    least = F.min("g").over(earlier)
     return made.withColumn("starts", least.isNull() | (F.col("g") <= least))
 
 
