@@ -112,12 +112,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
             values = ",".join(f"{x}L" for y, x in keys if y == k) or "NULL"
             some = some.withColumn("__at", F.expr(f"filter(transform(__s, (x, i) -> if(x IN ({values}), i, -1)), i -> i >= 0)"))
         else:
-            some = some.withColumn("__row", F.monotonically_increasing_id())
-            hit = some.select("__row", F.posexplode("__s").alias("__i", "__x")).join(by_shingle.where(F.col("__k") == k).select("__x").distinct(), "__x", "left_semi")
-            some = some.join(hit.groupBy("__row").agg(F.collect_list("__i").alias("__at")), "__row").drop("__row")
+            # Rows are known by their shingles, not by a number that a second computation could give to another row.
+            some = some.withColumn("__r1", F.xxhash64("__s")).withColumn("__r2", F.xxhash64(F.reverse("__s"), F.lit(1)))
+            wanted = by_shingle.where(F.col("__k") == k).select("__x").distinct()
+            hit = some.select("__r1", "__r2", F.posexplode("__s").alias("__i", "__x")).join(wanted, "__x", "left_semi")
+            some = some.join(hit.groupBy("__r1", "__r2").agg(F.collect_set("__i").alias("__at")), ["__r1", "__r2"]).drop("__r1", "__r2")
         starts = F.transform("__at", lambda i: F.struct(i.alias("start"), F.slice(F.col("__s"), i + 1, longest - k + 1).alias("ahead")))
         some = some.select("__doc", F.explode(starts).alias("__p"))
-        some = some.select("__doc", F.lit(k).alias("__k"), F.col("__p.start").alias("__start"), F.col("__p.ahead").alias("__ahead"), F.col("__p.ahead")[0].alias("__x"))
+        some = some.select("__doc", F.lit(k).alias("__k"), F.col("__p.start").alias("__start"), F.col("__p.ahead").alias("__ahead"), F.get("__p.ahead", F.lit(0)).alias("__x"))
         found = some if found is None else found.unionByName(some)
     cuts = _cuts(radius)
     sized = F.broadcast(by_shingle) if few and len(keys) <= broadcast_rows else by_shingle

@@ -80,10 +80,10 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
 
 
-def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, passes: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.01) -> Model:
+def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, updates: int = 24_000, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.002, l2: float = 0.01) -> Model:
     """FTRL-proximal with one learning rate for each feature; examples: feature numbers, values, label 0 or 1.
 
-    Without examples the weights are 0 and the bias too: every score is 0.5.
+    All examples are passed eight times, or as often as it takes for so many updates.  Without examples the weights are 0 and the bias too: every score is 0.5.
     """
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     zb = nb = bias = 0.0
@@ -92,7 +92,7 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, pa
     def weights(i) -> np.ndarray:
         return np.where(np.abs(z[i]) <= l1, 0.0, (np.sign(z[i]) * l1 - z[i]) / ((beta + np.sqrt(n[i])) / alpha + l2))
 
-    for _ in range(passes):
+    for _ in range(max(8, -(-updates // max(len(examples), 1)))):
         for k in order.permutation(len(examples)):
             i, x, y = examples[k]
             w = weights(i)

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontaminate, imatch, jaccard, katz, licenses, quality, repeats, secrets, warc
+from .sql import SQL as SQL
 from .tables import id_remainder, table
 
 
@@ -56,5 +57,3 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontamination": op1_decontamination, "op2_katz": op2_katz, "op3_licenses": op3_licenses, "op4_jaccard": op4_jaccard, "op5_secrets": op5_secrets, "op6_warc": op6_warc, "op7_repeats": op7_repeats, "op8_imatch": op8_imatch, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
-
-SQL: dict[str, str] = {}
