@@ -19,7 +19,7 @@ than a fair share of all tokens are spread by their words too.  A bucket holds a
 each document a sum and what its backed-off tokens still need: the discounts are only known when all buckets are done.
 A bigram that very many documents of a block hold is sent without them, once; they stay with the block.
 
-Words are known by 64-bit hashes, within a context by 48 bits of them.
+Words are known by 64-bit hashes until they are counted, and then by numbers.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
@@ -38,34 +39,45 @@ from .words import U64, blocks, mix, mix_int, word_hashes
 
 MOST = 5
 NO_ID = np.iinfo(np.int64).min
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: Documents of a block that hold the same bigram and are named to its bucket, at most.
 NAMED = 48
+#: Buckets of bigrams for each task; a task works on one at a time.
+BUCKETS_A_TASK = 4
 END, START = U64(mix_int(0xE0D)), U64(mix_int(0x57A47))
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as compressed bytes; whole numbers in the least width that holds them."""
+    """Arrays as compressed bytes: whole numbers in the least width that holds them, all first bytes before all second
+    ones and so on, which leaves the upper ones easy to compress."""
     head, body = [len(arrays)], []
     for a in arrays:
         if a.dtype != np.float64:
             top = int(a.max()) if len(a) else 0
             a = a.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
-        head += [len(a), -8 if a.dtype == np.float64 else a.itemsize]
-        body.append(a.tobytes())
+            head += [len(a), a.itemsize]
+            body.append(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
+        else:
+            head += [len(a), -8]
+            body.append(a.tobytes())
     return zstandard.ZstdCompressor(level=3).compress(np.array(head, "<i8").tobytes() + b"".join(body))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
+    """What pack() was given; whole numbers as int64, or as uint64 where they needed eight bytes."""
     raw = zstandard.ZstdDecompressor().decompress(data)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     head = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(n, 2).tolist()
     out, at = [], 8 + 16 * n
     for size, width in head:
-        kind = np.float64 if width < 0 else np.dtype(f"<u{width}")
-        a = np.frombuffer(raw, kind, size, at)
+        if width < 0:
+            a = np.frombuffer(raw, np.float64, size, at)
+        else:
+            planes = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size)
+            a = np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
+            a = a if width == 8 else a.astype(np.int64)
+        out.append(a)
         at += size * abs(width)
-        out.append(a if width < 0 or width == 8 else a.astype(np.int64))
     return out
 
 
@@ -189,9 +201,12 @@ def _count_words(bucket: int, whose: list[int], payloads: list[bytes]) -> Iterat
     parts = [unpack(p) for p in payloads]
     keys, number = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     counts = np.bincount(number, np.concatenate([p[1] for p in parts]).astype(np.float64), len(keys)).astype(np.int64)
+    rank = np.empty(len(keys), np.int64)
+    rank[np.lexsort((keys, -counts))] = np.arange(len(keys))
     at = 0
     for block, (own, _) in zip(whose, parts, strict=True):
-        yield _row(RETURN, block, bucket, pack(counts[number[at : at + len(own)]]))
+        mine = number[at : at + len(own)]
+        yield _row(RETURN, block, bucket, pack(counts[mine], rank[mine]))
         at += len(own)
     seen = counts > 0
     yield _row(TABLE, 0, bucket, pack(keys[seen], counts[seen]))
@@ -205,12 +220,16 @@ def _stats(rows: DataFrame) -> np.ndarray:
     return sum((np.frombuffer(r.data, "<i8") for r in found), np.zeros(MOST + 4, np.int64))
 
 
-def _send_bigrams(words: Unigrams, unknown: float, n: int):
+def _send_bigrams(words: Unigrams, unknown: float, word_buckets: int, n: int):
     hot = words.tokens / (4 * n)
 
     def one(block: int, texts: bytes, vocabulary: bytes, tokens: bytes, counted: list) -> Iterator[pa.RecordBatch]:
         (ids, held, first), (keys,), (number,) = unpack(texts), unpack(vocabulary), unpack(tokens)
-        count = np.concatenate([unpack(x["data"])[0] for x in sorted(counted, key=lambda x: x["bucket"])])
+        counted = sorted(counted, key=lambda x: x["bucket"])
+        back = [unpack(x["data"]) for x in counted]
+        count = np.concatenate([c for c, _ in back])
+        # A number for each word of the corpus, from its bucket and its rank there: low for frequent words; 0 is the start.
+        word = np.concatenate([*[rank * word_buckets + x["bucket"] + 1 for x, (_, rank) in zip(counted, back, strict=True)], [0]])
         size = np.diff(first)
         of = np.repeat(np.arange(len(size)), size)
         c = count[number]
@@ -260,10 +279,9 @@ def _send_bigrams(words: Unigrams, unknown: float, n: int):
                 continue
             hb = h[g]
             lead = np.flatnonzero(np.append(True, hb[1:] != hb[:-1]))
-            wb = hashes[w[g]] >> U64(16)
             span = named[g]
             where = np.repeat(to[g] - (np.cumsum(span) - span), span) + np.arange(span.sum())
-            yield _row(-1, block, b, pack(hashes[hb[lead]], ch[g][lead], np.diff(np.append(lead, len(g))), wb >> U64(16), wb & U64(0xFFFF), count[w[g]], trained[g], span, doc[where], times[where]))
+            yield _row(-1, block, b, pack(word[hb[lead]], ch[g][lead], np.diff(np.append(lead, len(g))), word[w[g]], count[w[g]], trained[g], span, doc[where], times[where]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,12 +294,13 @@ def _send_bigrams(words: Unigrams, unknown: float, n: int):
 def _score_bigrams(words: Unigrams, unknown: float, n: int):
     hot = words.tokens / (4 * n)
 
-    def work(bucket: int, whose: list[int], payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
+    Parts = dict[int, list[tuple]]
+
+    def work(bucket: int, whose: list[int], payloads: list[bytes], parts_of: Parts) -> Iterator[pa.RecordBatch]:
         parts = [unpack(p) for p in payloads]
         h = np.concatenate([np.repeat(p[0], p[2]) for p in parts])
         ch = np.concatenate([np.repeat(p[1], p[2]) for p in parts])
-        w = np.concatenate([(p[3].astype(U64) << U64(16)) | p[4].astype(U64) for p in parts])
-        cw, trained, span = (np.concatenate([p[k] for p in parts]) for k in (5, 6, 7))
+        w, cw, trained = (np.concatenate([p[k] for p in parts]) for k in (3, 4, 5))
         order = np.lexsort((w, h))
         new = np.append(True, (h[order[1:]] != h[order[:-1]]) | (w[order[1:]] != w[order[:-1]]))
         lead = order[np.flatnonzero(new)]
@@ -303,10 +322,10 @@ def _score_bigrams(words: Unigrams, unknown: float, n: int):
         value = np.where(rg > 0, np.log10(np.maximum(rg, 1) / (ch + bare[cg])), np.log10(words.probability(cw, unknown)))
         at = 0
         for block, p in zip(whose, parts, strict=True):
-            g = np.repeat(np.arange(at, at + len(p[7])), p[7])
-            at += len(p[7])
-            docs, number = np.unique(p[8], return_inverse=True)
-            times = p[9]
+            g = np.repeat(np.arange(at, at + len(p[6])), p[6])
+            at += len(p[6])
+            docs, number = np.unique(p[7], return_inverse=True)
+            times = p[8]
             add = lambda v, number=number, k=len(docs): np.bincount(number, v, k)
             low = [add(np.where(rg[g] == k, times, 0)).astype(np.int64) for k in range(1, MOST + 1)]
             # What depends on a context as a whole: tokens backed off from it, and, of a hot one, tokens seen after it.
@@ -315,24 +334,40 @@ def _score_bigrams(words: Unigrams, unknown: float, n: int):
             code, back = np.unique(code, return_inverse=True)
             many = np.bincount(back, times[ask], len(code)).astype(np.int64)
             asked, which = np.unique(code // 2 % len(head), return_inverse=True)
-            yield _row(SUMS, block, bucket, pack(docs, add(value[g] * times), *low, code // 2 // len(head), which, code % 2, many, h[head][asked], ch[head][asked], *hist[asked].T, total[asked], is_hot[asked].astype(np.int64)))
+            table = (h[head][asked], ch[head][asked], *hist[asked].T, total[asked], is_hot[asked].astype(np.int64))
+            parts_of.setdefault(block, []).append(((docs, add(value[g] * times), *low), (docs[code // 2 // len(head)], which, code % 2, many), table))
+
+    def added(parts: list[tuple]) -> bytes:
+        """A task's results for a block, of all its buckets, as one."""
+        sums, asks, tables = zip(*parts, strict=True)
+        docs, number = np.unique(np.concatenate([x[0] for x in sums]), return_inverse=True)
+        value, *low = (np.bincount(number, np.concatenate([x[k] for x in sums]), len(docs)) for k in range(1, MOST + 2))
+        before = np.cumsum([0, *[len(t[0]) for t in tables]])
+        who, which, seen, many = (np.concatenate([x[k] + (before[i] if k == 1 else 0) for i, x in enumerate(asks)]) for k in range(4))
+        table = [np.concatenate([t[k] for t in tables]) for k in range(len(tables[0]))]
+        return pack(docs, value, *[x.astype(np.int64) for x in low], np.searchsorted(docs, who), which, seen, many, *table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts_of: Parts = {}
+        rest: list[pa.RecordBatch] = []
+
         def sent() -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                kinds = batch.column(3).to_numpy()
-                if (kinds == TEXTS).any():
-                    rest.append(batch.filter(pa.array(kinds == TEXTS)))
-                yield batch.filter(pa.array(kinds != TEXTS))
+                own = pa.array(batch.column(3).to_numpy() == TEXTS)
+                rest.append(batch.filter(own))
+                yield batch.filter(pa.compute.invert(own))
 
-        rest: list[pa.RecordBatch] = []
-        for out in _by_bucket(work)(sent()):
-            yield out
+        def through() -> Iterator[pa.RecordBatch]:
             while rest:
                 part = rest.pop()
                 yield pa.RecordBatch.from_arrays([part.column(3), part.column(1), part.column(0), part.column(2)], ["kind", "block", "bucket", "data"])
-        for part in rest:
-            yield pa.RecordBatch.from_arrays([part.column(3), part.column(1), part.column(0), part.column(2)], ["kind", "block", "bucket", "data"])
+
+        for out in _by_bucket(lambda bucket, whose, payloads: work(bucket, whose, payloads, parts_of))(sent()):
+            yield out
+            yield from through()
+        yield from through()
+        for block, parts in parts_of.items():
+            yield _row(SUMS, block, 0, added(parts))
 
     return run
 
@@ -397,12 +432,13 @@ def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     words = Unigrams.of(int(stats[MOST + 1]), int(stats[MOST + 2]), int(stats[MOST + 3]), hist)
     unknown = words.unknown(hist)
     back = counted.where(F.col("kind") == RETURN).groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("counted"))
-    grams = corpus.join(back, "block").mapInArrow(_send_bigrams(words, unknown, n), ROWS)
+    m = n * BUCKETS_A_TASK
+    grams = corpus.join(back, "block").mapInArrow(_send_bigrams(words, unknown, n, m), ROWS)
     grams = grams.select("bucket", "block", "data", "kind").repartition(n, "bucket").sortWithinPartitions("bucket", "block")
-    done = written(grams.mapInArrow(_score_bigrams(words, unknown, n), ROWS), "uncompressed")
+    done = written(grams.mapInArrow(_score_bigrams(words, unknown, m), ROWS), "uncompressed")
     spark.sql(f"DROP TABLE {name}")
     d = Discounts.of([0, *_stats(done)[: MOST + 1].tolist()])
-    # Hot contexts have more than 1 / (4 n) of all tokens each, so there are fewer than 4 n + 1, with a part in each bucket.
+    # Hot contexts have more than 1 / (4 m) of all tokens each, so there are fewer than 4 m + 1, with a part in each bucket.
     parts: dict[int, list[np.ndarray]] = {}
     for row in done.where(F.col("kind") == HOT).select("data").toLocalIterator():
         h, *numbers = unpack(row.data)
