@@ -28,6 +28,8 @@ NO_ID = np.iinfo(np.int64).max
 RUN = 4
 #: Buckets for each task of the shuffle; a task works on one at a time.
 BUCKETS_A_TASK = 8
+#: Text bytes whose windows a map task sorts at once.
+SEND_BYTES = 2 << 20
 
 
 def _rolled(words: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
@@ -100,10 +102,14 @@ def _marks(ids: np.ndarray, keys: np.ndarray, of: np.ndarray, start: np.ndarray)
 def _pick(texts: Texts, start: np.ndarray, end: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words [start, end) joined by one blank each within the groups that begin at `cut` (one more than groups):
     the bytes of all groups, and where each begins; a group's bytes end in one blank more."""
-    size = end - start + 1
-    to = np.append(0, np.cumsum(size))
-    at = np.repeat(start - to[:-1], size) + np.arange(to[-1])
-    out = texts.data[np.minimum(at, max(len(texts.data) - 1, 0))] if len(at) else np.zeros(0, np.uint8)
+    to = np.append(0, np.cumsum(end - start + 1))
+    out = np.empty(to[-1], np.uint8)
+    a = 0
+    while a < len(start):  # a part at a time, as the places of bytes take eight times their room
+        b = min(max(int(np.searchsorted(to, to[a] + (1 << 20), "right")) - 1, a + 1), len(start))
+        at = np.repeat(start[a:b] - to[a:b], np.diff(to[a : b + 1])) + np.arange(to[a], to[b])
+        out[to[a] : to[b]] = texts.data[np.minimum(at, len(texts.data) - 1)]
+        a = b
     out[to[1:] - 1] = 32
     return out, to[cut]
 
@@ -111,7 +117,7 @@ def _pick(texts: Texts, start: np.ndarray, end: np.ndarray, cut: np.ndarray) ->
 def _send(window: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
-        for batch, texts in blocks(batches, "__text", 8 << 20):
+        for batch, texts in blocks(batches, "__text", SEND_BYTES):
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             found = split(texts)
             at = window_starts(found.first, window)

@@ -20,7 +20,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Text bytes that are worked on at once; a longer single text is worked on whole.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
