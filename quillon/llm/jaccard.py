@@ -32,6 +32,8 @@ from .words import GOLD, U64, blocks, distinct, mix, mix_int, shingles, sums, wo
 
 BINS = 128
 LEVELS = 4
+#: Rows of a table of a few numbers each that a join broadcasts, at most; a larger one is shuffled.
+BROADCAST_ROWS = 500_000
 
 
 def runs_for(recall: float, threshold: float, levels: int = 2) -> int:
@@ -44,24 +46,31 @@ def runs_for(recall: float, threshold: float, levels: int = 2) -> int:
 
 
 def _paths(tokens: np.ndarray, first: np.ndarray, threshold: float, runs: int) -> list[list[np.ndarray]]:
-    """For each level from 2: the set, the path and the parent's path of each chosen node, ordered by set."""
+    """For each level from 2: the set and the path of each chosen node, ordered by set, and its parent's place among the
+    nodes of its set one level up (0 at level 2)."""
     size = np.diff(first)
     limit = np.full(len(size), np.iinfo(np.uint64).max, U64)
     big = size * threshold > 1
     limit[big] = (2.0**64 / (size[big] * threshold)).astype(U64)
     found: list[list[list[np.ndarray]]] = [[] for _ in range(LEVELS - 1)]
+    counts = np.zeros((LEVELS - 1, len(size)), np.int64)
     full = np.flatnonzero(size)
     for run in range(runs):
-        sets, path = full, np.full(len(full), mix_int(run + 1), U64)
+        sets, path, place = full, np.full(len(full), mix_int(run + 1), U64), np.zeros(len(full), np.int64)
         for level in range(1, LEVELS + 1):
             n = size[sets]
             of = np.repeat(np.arange(len(sets)), n)
             at = np.arange(len(of)) + np.repeat(first[sets] - (np.cumsum(n) - n), n)
             h = mix(tokens[at] ^ path[of])
             taken = np.flatnonzero(h < limit[sets][of])
-            parent, sets, path = path[of[taken]], sets[of[taken]], mix(h[taken] + GOLD)
+            parent, sets, path = place[of[taken]], sets[of[taken]], mix(h[taken] + GOLD)
             if level >= 2:
+                seen = counts[level - 2]
+                place = seen[sets] + np.arange(len(sets)) - np.searchsorted(sets, sets)
+                seen += np.bincount(sets, minlength=len(size))
                 found[level - 2].append([sets, path, parent])
+            else:
+                place = np.zeros(len(sets), np.int64)
     out = []
     for parts in found:
         sets, path, parent = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -101,32 +110,39 @@ def described(docs: DataFrame, doc_id: str, text: str, threshold: float, runs: i
     """id, set digest, sketch and chosen paths of each row; a map over partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches, "__text", 2 << 20):
+        for batch, texts in blocks(batches, "__text", 1 << 20):
             tokens, first = _sets(texts, n)
             d1, d2 = _digests(tokens, first)
             sketch = sketches(tokens, first)
             columns = [batch.column(0), pa.array(d1), pa.array(d2), pa.array([r.tobytes() for r in sketch], pa.binary())]
             for sets, path, parent in _paths(tokens, first, threshold, runs):
                 where = pa.array(np.searchsorted(sets, np.arange(batch.num_rows + 1)).astype(np.int32))
-                columns += [pa.ListArray.from_arrays(where, pa.array(x.view(np.int64))) for x in (path, parent)]
+                columns += [pa.ListArray.from_arrays(where, x) for x in (pa.array(path.view(np.int64)), pa.array(parent.astype(np.int32)))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["id", "d1", "d2", "sketch"] + [f"{x}{level}" for level in range(2, LEVELS + 1) for x in ("path", "up")]
-    schema = "id long, d1 long, d2 long, sketch binary, " + ", ".join(f"{x} array<long>" for x in names[4:])
+    schema = "id long, d1 long, d2 long, sketch binary, " + ", ".join(f"{x} array<{'long' if x[0] == 'p' else 'int'}>" for x in names[4:])
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is counted to be small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _leaves(stand: DataFrame, small: int) -> DataFrame:
     """(key, id, n): the buckets that sets are compared in, of n >= 2 sets each; at most `small`, but at the last level."""
     out, large = None, None
     for level in range(2, LEVELS + 1):
-        rows = stand.select("id", F.explode(F.arrays_zip(F.col(f"path{level}").alias("key"), F.col(f"up{level}").alias("up"))).alias("x")).select("id", "x.key", "x.up")
-        if large is not None:
-            rows = rows.join(large, "up")
-        rows = rows.select("key", "id").distinct()
+        if large is None:
+            rows = stand.select("id", F.explode(f"path{level}").alias("key"))
+        else:
+            up = F.expr(f"transform(up{level}, u -> get(path{level - 1}, u))")
+            rows = stand.select("id", F.explode(F.arrays_zip(F.col(f"path{level}").alias("key"), up.alias("up"))).alias("x")).select("id", "x.key", "x.up")
+            rows = rows.join(_small(large), "up").select("key", "id")
         counts = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
         fit = counts if level == LEVELS else counts.where(F.col("n") <= small)
-        found = rows.join(fit, "key")
+        found = rows.join(_small(fit), "key")
         out = found if out is None else out.union(found)
         if level < LEVELS:
             large = counts.where(F.col("n") > small).select(F.col("key").alias("up"))
@@ -260,6 +276,34 @@ def _exact_links(threshold: float) -> Callable:
     return work
 
 
+def _members_sets(docs: DataFrame, doc_id: str, text: str, n: int, ids: DataFrame) -> DataFrame:
+    """id, d1, d2, tokens of the rows whose id may be in ids: those whose bit is set in a map of hashed ids.
+
+    The map has 8 bits or more for each id, and at most 2**28 (32 MB), so it is broadcast; where ids outnumber that, more
+    rows pass, and the join that follows drops them."""
+    bits = min(max(1 << 18, 1 << (8 * max(ids.count(), 1) - 1).bit_length()), 1 << 28)
+    spot = F.pmod(F.xxhash64("id"), F.lit(bits))
+    parts = ids.select(F.floor(spot / 32768).cast("long").alias("part"), F.pmod(spot, F.lit(32768)).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("map")).collect()
+    whole = np.zeros((bits >> 15, 4096), np.uint8)
+    for r in parts:
+        whole[r["part"]] = np.frombuffer(r["map"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(np.unpackbits(whole.ravel(), bitorder="little") if bits <= 1 << 23 else whole.ravel())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            at = batch.column(1).to_numpy()
+            may = known[at] > 0 if len(known) == bits else known[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+            for part, texts in blocks(iter([batch.filter(pa.array(may))]), "__text", 1 << 20):
+                flat, first = _sets(texts, n)
+                d1, d2 = _digests(flat, first)
+                cut = pa.array([flat[first[k] : first[k + 1]].tobytes() for k in range(part.num_rows)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(d1), pa.array(d2), cut], ["id", "d1", "d2", "tokens"])
+
+    read = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("__text")).where("id IS NOT NULL")
+    return read.select("id", spot.alias("at"), "__text").mapInArrow(run, "id long, d1 long, d2 long, tokens binary")
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, recall: float = 0.999, n: int = 5, small: int = 128, block: int = 256) -> DataFrame:
     """A row for each row of docs: doc_id, class_id (the least doc_id of its class) and n_links (how many other rows have
     similarity of at least the threshold with it, copies included).
@@ -272,26 +316,17 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     made = written(described(docs, doc_id, text, threshold, runs, n))
     copies = written(made.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
     paths = [c for c in made.columns if c.startswith(("path", "up"))]
-    stand = made.join(copies.where("id IS NOT NULL").select("id", "d1", "d2", "copies"), ["id", "d1", "d2"]).select("id", "copies", "sketch", *paths)
-    leaves = written(_leaves(stand.select("id", *paths), small))
-    members = leaves.join(stand.select("id", "sketch"), "id")
+    stand = written(made.join(copies.where("id IS NOT NULL").select("id", "d1", "d2"), ["id", "d1", "d2"], "left_semi").dropDuplicates(["id", "d1", "d2"]).select("id", "sketch", *paths))
+    leaves = written(_leaves(stand, small))
+    ids = _small(written(leaves.select("id").distinct()))
+    members = leaves.join(written(stand.select("id", "sketch").join(ids, "id", "left_semi")), "id")
     near = _grouped(_dealt(members, "key", "n", "id", 4 * block).drop("n"), ["key", "bi", "bj"], _sketch_links(threshold), "a long, b long")
     groups = written(components(near))
     sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("n")), "component").select(F.col("node").alias("id"), "component", "n")
     chosen = written(sized.join(copies, "id"))
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches, "__text", 2 << 20):
-            flat, first = _sets(texts, n)
-            d1, d2 = _digests(flat, first)
-            yes = (d1 == batch.column(1).to_numpy()) & (d2 == batch.column(2).to_numpy())
-            cut = pa.array([flat[first[k] : first[k + 1]].tobytes() for k in range(batch.num_rows)], pa.binary())
-            kept = pa.RecordBatch.from_arrays([batch.column(c) for c in (0, 3, 4, 5)] + [cut], ["id", "component", "n", "copies", "tokens"])
-            yield kept.filter(pa.array(yes))
-
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("__text")).where("id IS NOT NULL")
-    sets = texts.join(chosen, "id").select("id", "d1", "d2", "component", "n", "copies", "__text")
-    sets = sets.mapInArrow(tokens, "id long, component long, n long, copies long, tokens binary")
+    sets = _members_sets(docs, doc_id, text, n, chosen.select("id")).join(_small(chosen), ["id", "d1", "d2"])
+    sets = sets.select("id", "component", "n", "copies", "tokens")
     compared = written(_grouped(_dealt(sets, "component", "n", "id", block).drop("n"), ["component", "bi", "bj"], _exact_links(threshold), "a long, b long, links long"))
     found = components(compared.select("a", "b"))
     links = compared.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
@@ -303,6 +338,11 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs, all columns, without the documents that are not the first (by id) of their class.  Rows that repeat the id
     of a document that stays are one document; rows without id stay."""
-    first = classes(docs, doc_id, text, **options).where(F.col(doc_id) == F.col("class_id")).select(F.col("class_id").alias("__first")).distinct()
-    kept = docs.join(first, docs[doc_id] == F.col("__first"), "left_semi").dropDuplicates([doc_id])
-    return kept.union(docs.where(F.col(doc_id).isNull()))
+    found = classes(docs, doc_id, text, **options).where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id"))
+    found = written(found.agg(F.bool_or(F.col(doc_id) == F.col("class_id")).alias("__first"), F.count("*").alias("__n")).where("NOT __first OR __n > 1"))
+    # Only what goes, or stands several times, is joined with the texts: by broadcast, if it is counted to be small.
+    others = docs.join(_small(found.select("__id")), docs[doc_id] == F.col("__id"), "left_anti")
+    again = found.where("__first").select("__id")
+    if again.isEmpty():
+        return others
+    return others.union(docs.join(again, docs[doc_id] == F.col("__id"), "left_semi").dropDuplicates([doc_id]))
