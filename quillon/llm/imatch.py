@@ -17,9 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .tables import partitions
+from .tables import even_keys, partitions
 from .words import U64, Texts, blocks, column, distinct, mix, mix_int, sums, word_hashes
 
 PARTS = 32
@@ -27,6 +28,8 @@ LOW, HIGH = 0.0005, 0.02
 #: Terms of a lexicon, at most; a band that lets in more is refused, as the lexicon is broadcast.
 MOST_TERMS = 4_000_000
 EMPTY = "-" * 8
+#: Ranges of ids for each task of the shuffle.
+RANGES_A_TASK = 4
 
 
 def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -140,28 +143,34 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: n
     """A row for each row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has the last floor(n_chars / 3) code points replaced by the first as many (or all) of the next
-    document's, by descending doc_id; after the last comes the first.  Rows of equal id follow each other by text, and a
+    document's, by descending doc_id; after the last comes the first.  Rows of equal id follow each other by a hash of their text, and a
     single document is its own next.  A null text counts as empty; rows without id come last, as if their id were the
     least.  Ids are integers of up to 53 bits.
 
-    Texts are dealt to ranges of ids once; a range also gets the first document of the range below.
+    Texts are dealt to ranges of ids once, compressed; a range also gets the first document of the range below.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(lexicon(docs, text) if known is None else known)
     least = -(1 << 62)
-    own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(least)).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(least)).alias("id"), F.xxhash64(whole).alias("key"), whole.alias("__text"))
     n = partitions(spark)
-    bounds, heads = _placed(own.select("id"), n * 4)
+    bounds, heads = _placed(own.select("id"), n * RANGES_A_TASK)
+    tasks = np.array(even_keys(spark, n))
+    names_dealt = ["task", "range", "guest", "id", "key", "text"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        press = zstandard.ZstdCompressor(level=3).compress
+        for batch, texts in blocks(batches, "__text"):
             ids = batch.column(0).to_numpy()
             place = np.searchsorted(bounds, ids, "left")
-            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.zeros(len(ids), bool)), *batch.columns], ["range", "guest", "id", "text"])
+            packed = pa.array([press(texts.text(k)) for k in range(len(ids))], pa.binary())
+            columns = [batch.column(0), batch.column(1), packed]
+            yield pa.RecordBatch.from_arrays([pa.array(tasks[place % n]), pa.array(place), pa.array(np.zeros(len(ids), bool)), *columns], names_dealt)
             guests = [k for k, i in enumerate(ids.tolist()) if i in heads]
             if guests:
-                to = pa.array([heads[int(ids[k])] for k in guests], pa.int64())
-                yield pa.RecordBatch.from_arrays([to, pa.array([True] * len(guests)), *[c.take(pa.array(guests)) for c in batch.columns]], ["range", "guest", "id", "text"])
+                to = np.array([heads[int(ids[k])] for k in guests])
+                yield pa.RecordBatch.from_arrays([pa.array(tasks[to % n]), pa.array(to), pa.array([True] * len(guests)), *[c.take(pa.array(guests)) for c in columns]], names_dealt)
 
     def finish(rows: list[tuple[int, str]], following: list[str]) -> pa.RecordBatch:
         new = []
@@ -178,8 +187,10 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: n
         rows: list[tuple[int, str]] = []
         following: list[str] = []
         place, size, closed = None, 0, False
+        open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for where, guest, i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for where, guest, i, _, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                t = open_(data).decode()
                 if where != place:
                     # The last document of a range has its next from the guest, so all rows are complete here.
                     place, closed = where, False
@@ -199,6 +210,6 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: n
 
     names = [doc_id, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [T.LongType(), T.LongType(), T.StringType(), T.StringType(), T.StringType(), T.DoubleType(), T.DoubleType()]
-    dealt = own.mapInArrow(deal, "range long, guest boolean, id long, text string")
-    dealt = dealt.repartition(n, "range").sortWithinPartitions("range", "guest", F.desc("id"), "text")
+    dealt = own.mapInArrow(deal, "task long, range long, guest boolean, id long, key long, text binary")
+    dealt = dealt.repartition(n, "task").sortWithinPartitions("range", "guest", F.desc("id"), "key").drop("task")
     return dealt.mapInArrow(run, T.StructType([T.StructField(a, b) for a, b in zip(names, kinds, strict=True)]))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -41,5 +40,13 @@ def id_remainder(name: str, modulus: int) -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(name).cast("string"), F.lit("")), "UTF-8")) % modulus
 
 
-def any_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that hash partitioning sends to n different tasks, the k-th to task k.
+
+    Numbers of buckets would meet in some tasks and leave others without any; a bucket's row carries one of these."""
+    tries = 16 * n + 64
+    while True:
+        found = spark.range(tries).groupBy(F.expr(f"pmod(hash(id), {n})").alias("task")).agg(F.min("id").alias("id")).orderBy("task").collect()
+        if len(found) == n:
+            return [r["id"] for r in found]
+        tries *= 2
