@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm import bpe, decontaminate, jaccard, quality, secrets
+from quillon.llm import bpe, decontaminate, jaccard, quality, secret_scan
 from quillon.llm.tables import id_remainder, table, written
 
 
@@ -32,7 +32,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret replaced by a mark; n_chars is that of the new text."""
-    out = secrets.redact(docs)
+    out = secret_scan.redact(docs)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, imatch, jaccard, katz, licenses, quality, repeats, secrets, warc
+from . import bpe, decontaminate, imatch, jaccard, katz, licenses, quality, repeats, secret_scan, warc
 from .sql import SQL as SQL
 from .tables import id_remainder, table
 
@@ -29,7 +29,7 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

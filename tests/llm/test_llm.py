@@ -16,7 +16,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, components, decontaminate, imatch, jaccard, katz, licenses, quality, repeats, secrets, warc
+from quillon.llm import bpe, components, decontaminate, imatch, jaccard, katz, licenses, quality, repeats, secret_scan, warc
 from quillon.llm.tables import id_remainder
 from quillon.llm.words import Texts, column, shingles, split, word_hashes
 
@@ -302,12 +302,12 @@ SECRETS = [
 
 @pytest.fixture(scope="module")
 def network():
-    return secrets.train(secrets.labelled_findings())
+    return secret_scan.train(secret_scan.labelled_findings())
 
 
 def test_secret_base_spans(spark):
     df = spark.createDataFrame(list(enumerate(SECRETS)), "doc_id bigint, text string")
-    got = by_id(secrets.scan(df))
+    got = by_id(secret_scan.scan(df))
     for i, t in enumerate(SECRETS):
         base = base_spans(t or "")
         r = got[i]
@@ -319,21 +319,21 @@ def test_secret_base_spans(spark):
 
 
 def test_secret_network_on_unseen_findings(network):
-    found = secrets.labelled_findings(1000, 77)
+    found = secret_scan.labelled_findings(1000, 77)
     seen = []
     for f in found:
         data = np.frombuffer("".join(f[:3]).encode(), np.uint8)
         at = len(f.before.encode())
-        seen.append(secrets.windows(Texts(data, np.array([0, len(data)])), np.array([at]), np.array([at + len(f.body.encode())]))[0])
+        seen.append(secret_scan.windows(Texts(data, np.array([0, len(data)])), np.array([at]), np.array([at + len(f.body.encode())]))[0])
     yes = network.probabilities(np.stack(seen)) >= network.threshold
     truth = np.array([f.secret for f in found])
     assert yes[truth].mean() > 0.95 and yes[~truth].mean() < 0.05
 
 
 def test_secret_gradients():
-    net = secrets.Network(dim=3, filters=4)
+    net = secret_scan.Network(dim=3, filters=4)
     rnd = np.random.default_rng(0)
-    x, y = rnd.integers(1, 128, (3, secrets.WIDTH)).astype(np.uint8), np.array([0, 1, 1], np.float32)
+    x, y = rnd.integers(1, 128, (3, secret_scan.WIDTH)).astype(np.uint8), np.array([0, 1, 1], np.float32)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
     grads = net._gradients(x, y)
     loss = lambda: float(np.mean(np.logaddexp(0, net.logits(x)) - y * net.logits(x)))
@@ -349,7 +349,7 @@ def test_secret_gradients():
 
 def test_secrets_are_redacted(spark):
     df = spark.createDataFrame([(i, t, i) for i, t in enumerate(SECRETS)], "doc_id bigint, text string, spans bigint")
-    got = by_id(secrets.redact(df))
+    got = by_id(secret_scan.redact(df))
     assert got[0]["text"] == 'é [SECRET]" é' and got[5]["text"] is None and got[7]["text"] == SECRETS[7] and got[7]["spans"] == 7
     assert not any(base_spans(r["text"] or "") for r in got.values())
 
