@@ -2,9 +2,9 @@
 
 Texts are cut by the tokenizer's pattern.  The distinct pieces of a run of rows are encoded by one recursive query: a
 piece is a row with its token ids; its token positions join the merge table, the pair of least rank is contracted, at
-its leftmost place, and the row comes again until no pair joins.  Where a merged token cannot take part in a merge of
-lower rank than its own, all places of that pair are contracted in one round, left to right, which gives the same ids
-(one by one, the same pair would be least again until none is left).  Decoding joins token rows to the vocabulary and
+its leftmost place, and the row comes again until no pair joins.  In long pieces, where a merged token cannot take part
+in a merge of lower rank than its own, all places of that pair are contracted in one round, left to right, which gives
+the same ids (one by one, the same pair would be least again until none is left).  Decoding joins token rows to the vocabulary and
 aggregates their bytes in order of position.
 
 Only distinct pieces that a worker has not met lately reach DuckDB; a piece's ids never depend on its neighbours.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .words import blocks
 
 #: Pieces in each of the two generations that a worker remembers; when the younger is full, the older is forgotten.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 #: Bytes of distinct pieces that one recursive query takes in; a longer single piece is taken alone.
 QUERY_BYTES = 1 << 20
 
@@ -35,19 +35,18 @@ WITH RECURSIVE bpe(w, ids) USING KEY (w) AS (
     SELECT w, ids FROM fresh
     UNION
     SELECT b.w,
-        CASE WHEN m.alone OR h.places = 1
-            THEN b.ids[:h.place - 1] || [m.merged] || b.ids[h.place + 2:]
-            ELSE string_split(trim(replace('<' || array_to_string(b.ids, '><') || '>', '<' || m.l || '><' || m.r || '>',
-                '<' || m.merged || '>'), '<>'), '><')::INTEGER[] END
+        CASE WHEN len(b.ids) <= 32 OR (h.best >> 32) & 1 = 1
+            THEN b.ids[:(h.best & 4294967295) - 1] || [(h.best >> 33)::INTEGER] || b.ids[(h.best & 4294967295) + 2:]
+            ELSE string_split(trim(replace('<' || array_to_string(b.ids, '><') || '>',
+                '<' || b.ids[h.best & 4294967295] || '><' || b.ids[(h.best & 4294967295) + 1] || '>',
+                '<' || (h.best >> 33) || '>'), '<>'), '><')::INTEGER[] END
     FROM bpe b
     JOIN (
-        SELECT w, min(merged) AS merged, min_by(merge, merged::BIGINT << 32 | place) AS merge,
-            min_by(place, merged::BIGINT << 32 | place) AS place, count(*) AS places
+        SELECT w, min(first | place) AS best
         FROM (SELECT w, unnest(ids[:-2]) AS l, unnest(ids[2:]) AS r, unnest(range(1, len(ids))) AS place FROM bpe WHERE len(ids) > 1) t
         JOIN merges USING (l, r)
         GROUP BY w
     ) h USING (w)
-    JOIN merges m ON m.merge = h.merge
 )
 SELECT w, ids FROM bpe ORDER BY w
 """
@@ -81,8 +80,10 @@ class Codec:
             raise ValueError("a byte-level vocabulary has all 256 single bytes")
         merges = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         alone = {part for left, right, merged in merges for part in (left, right) if part > merged and len(self.tokens[part]) > 1}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "350MB", "temp_directory": ""})
-        self.db.register("m", pa.table({"merge": pa.array(range(len(merges)), pa.int32()), **{k: pa.array([x[i] for x in merges], pa.int32()) for i, k in enumerate(("l", "r", "merged"))}, "alone": [x[2] in alone for x in merges]}))
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
+        # The least of first | place over a piece's places is its pair of least rank, at the leftmost place.
+        first = [merged << 33 | (merged in alone) << 32 for _, _, merged in merges]
+        self.db.register("m", pa.table({"first": pa.array(first, pa.int64()), **{k: pa.array([x[i] for x in merges], pa.int32()) for i, k in enumerate(("l", "r"))}}))
         self.db.register("v", pa.table({"id": pa.array(list(self.tokens), pa.int32()), "hex": [t.hex() for t in self.tokens.values()]}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m; CREATE TABLE vocabulary AS SELECT * FROM v")
 

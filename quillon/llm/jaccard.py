@@ -24,11 +24,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .components import components, local_components
 from .tables import partitions, written
-from .words import GOLD, U64, blocks, distinct, mix, mix_int, shingles, sums, word_hashes
+from .words import GOLD, U64, blocks, distinct, mix, mix_int, release, shingles, sums, word_hashes
 
 BINS = 128
 LEVELS = 4
@@ -182,6 +182,7 @@ def _grouped(rows: DataFrame, keys: list[str], work: Callable, schema: str) -> D
             held.append(batch.slice(start))
         if held:
             yield from work(pa.Table.from_batches(held))
+        release()
 
     named = rows.select(*keys, *[c for c in rows.columns if c not in keys])
     return named.repartition(partitions(rows.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(run, schema)

@@ -7,6 +7,7 @@ bytes and length; with V distinct words the chance of any collision is about V*V
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -67,6 +68,14 @@ def column(values: pa.Array) -> Texts:
     return Texts(raw[offsets[0] : offsets[-1]], offsets - offsets[0])
 
 
+def release() -> None:
+    """Give unused memory back to the system: a Python worker lives on after its task, beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Runs of rows whose texts have about `size` bytes together, with their texts; every row comes once, in order."""
     for batch in batches:
@@ -80,6 +89,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BL
             lo, hi = whole.offsets[at], whole.offsets[to]
             yield batch.slice(at, to - at), Texts(whole.data[lo:hi], whole.offsets[at : to + 1] - lo)
             at = to
+    release()
 
 
 def split(texts: Texts) -> Words:
