@@ -120,7 +120,7 @@ def train(labelled: DataFrame, label: str, rows: int = ROWS, bits: int = BITS, k
 
     read = labelled.where(F.col(label).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(label).cast("int").alias("y"), F.col(text).cast("string").alias("__text"))
     made = read.mapInArrow(run, "h long, y int, i binary, x binary").orderBy("h", "y", "i", "x").limit(rows).collect()
-    return fit([(np.frombuffer(r.i, "<i4").astype(np.int64), np.frombuffer(r.x, "<f4").astype(np.float64), int(r.y == 1)) for r in made], bits)
+    return fit([(np.frombuffer(r.i, "<i4"), np.frombuffer(r.x, "<f4"), int(r.y == 1)) for r in made], bits)
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column, rows: int = ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
