@@ -35,11 +35,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .tables import partitions, work_dir, written
-from .words import U64, blocks, mix, mix_int, word_hashes
+from .words import U64, blocks, mix, mix_int, release, word_hashes
 
 MOST = 5
 NO_ID = np.iinfo(np.int64).min
-BLOCK = 8 << 20
+BLOCK = 6 << 20
 #: Documents of a block that hold the same bigram and are named to its bucket, at most.
 NAMED = 48
 #: Buckets of bigrams for each task; a task works on one at a time.
@@ -179,6 +179,7 @@ def _by_bucket(work: Callable[[int, list[int], list[bytes]], Iterator[pa.RecordB
                 held.append(data)
         if held:
             yield from work(at, whose, held)
+        release()
 
     return run
 
@@ -287,6 +288,7 @@ def _send_bigrams(words: Unigrams, unknown: float, word_buckets: int, n: int):
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 yield from one(*row)
+        release()
 
     return run
 
