@@ -2,9 +2,10 @@
 
 Base kinds are found as leftmost non-overlapping matches of each pattern, shorter ones dropped.  A candidate for the
 network is any maximal run of at least `RUN` characters of A-Z a-z 0-9 + / _ = - that has a letter and a digit and meets
-no base span.  The network sees up to 48 bytes of the candidate and 24 bytes of text on each side.  It is written and
-trained in numpy on labelled findings; its scores are calibrated (Platt scaling) on findings that it was not trained on,
-and the threshold is the one with the fewest false alarms of those that keep the wanted recall there.
+no base span.  The network sees up to 48 bytes of the candidate and 24 bytes of text on each side; a longer candidate is
+seen in overlapping parts of 48 bytes that cover it, and its score is the highest of theirs.  It is written and trained in
+numpy on labelled findings; its scores are calibrated (Platt scaling) on findings that it was not trained on, and the
+threshold is the one with the fewest false alarms of those that keep the wanted recall there.
 
 Texts are scanned as UTF-8 bytes: every character of the patterns is ASCII, so matches are the same as over code points;
 spans are given in code points, end exclusive.
@@ -33,6 +34,8 @@ KINDS = ("assign", "access", "hex", "network")
 RUN = 16
 SIDE, BODY = 24, 48
 WIDTH = SIDE + BODY + SIDE
+#: Bytes from one part of a long candidate to the next.
+STEP = 12
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -112,6 +115,17 @@ def windows(texts: Texts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.where(there, np.minimum(data[np.clip(at, 0, max(len(data) - 1, 0))], 128), 0).astype(np.uint8)
 
 
+def pieces(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate, start and end of the parts of up to BODY bytes that the network sees, in order; the last one of a
+    candidate ends where it ends."""
+    more = np.maximum(end - start - BODY, 0)
+    n = 1 - (-more // STEP)
+    of = np.repeat(np.arange(len(start)), n)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    lo = start[of] + np.minimum(k * STEP, more[of])
+    return of, lo, np.minimum(lo + BODY, end[of])
+
+
 class Finding(NamedTuple):
     before: str
     body: str
@@ -253,27 +267,45 @@ class Network:
 
 
 def train(findings: list[Finding], recall: float = 0.98) -> Network:
-    """A network trained on three of four findings and calibrated on the fourth."""
+    """A network trained on the parts of three of four findings and calibrated on the highest scores of the fourth."""
     if not findings:
         raise ValueError("no labelled findings")
-    seen = []
-    for f in findings:
+    seen, of = [], []
+    for i, f in enumerate(findings):
         before, body, after = (s.encode() for s in f[:3])
         data = np.frombuffer(before + body + after, np.uint8)
-        seen.append(windows(Texts(data, np.array([0, len(data)])), np.array([len(before)]), np.array([len(before) + len(body)]))[0])
-    x, y = np.stack(seen), np.array([f.secret for f in findings], np.float32)
-    held = np.arange(len(x)) % 8 >= 6
+        _, lo, hi = pieces(np.array([len(before)]), np.array([len(before) + len(body)]))
+        seen.append(windows(Texts(data, np.array([0, len(data)])), lo, hi))
+        of += [i] * len(lo)
+    x, of, y = np.concatenate(seen), np.array(of), np.array([f.secret for f in findings], np.float32)
+    held = np.arange(len(y)) % 8 >= 6
     net = Network()
-    net.train(x[~held], y[~held])
-    net.calibrate(x[held], y[held], recall)
+    net.train(x[~held[of]], y[of][~held[of]])
+    if held.any():
+        x, of = x[held[of]], of[held[of]]
+        highest = np.full(len(y), -np.inf)
+        z = net.logits(x)
+        np.maximum.at(highest, of, z)
+        first = np.flatnonzero(z == highest[of])
+        first = first[np.unique(of[first], return_index=True)[1]]
+        net.calibrate(x[first], y[of[first]], recall)
     return net
 
 
+def judged(texts: Texts, net: Network, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The highest probability of each candidate's parts."""
+    of, lo, hi = pieces(start, end)
+    best = np.zeros(len(start))
+    for k in range(0, len(of), 4096):
+        np.maximum.at(best, of[k : k + 4096], net.probabilities(windows(texts, lo[k : k + 4096], hi[k : k + 4096])))
+    return best
+
+
 def all_spans(texts: Texts, net: Network) -> list[tuple[int, int, int, int]]:
     """Base spans and the network's, as base_spans() gives them."""
     found = base_spans(texts)
     start, end = candidates(texts, found)
-    yes = net.probabilities(windows(texts, start, end)) >= net.threshold if len(start) else np.zeros(0, bool)
+    yes = judged(texts, net, start, end) >= net.threshold if len(start) else np.zeros(0, bool)
     of = np.searchsorted(texts.offsets, start[yes], "right") - 1
     return sorted([*found, *zip(of.tolist(), start[yes].tolist(), [3] * int(yes.sum()), end[yes].tolist(), strict=True)])
 

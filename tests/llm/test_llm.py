@@ -354,6 +354,32 @@ def test_secrets_are_redacted(spark):
     assert not any(base_spans(r["text"] or "") for r in got.values())
 
 
+def one_text(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return Texts(data, np.array([0, len(data)]))
+
+
+KEY = "a8Kd02mQz7LpX91nvB3sRtY6uWc4Ej5HgTq0ZxVf"
+PLAIN = "/".join(["tableuser", "datanode", "pagetest", "itemver", "useredtion", "nodeable", "testinre"])
+
+
+@pytest.mark.parametrize("body", [f"{PLAIN}={KEY}", f"{PLAIN}/{KEY}/{PLAIN}", f"{KEY}/{PLAIN}/{PLAIN}", f"{PLAIN}/{PLAIN}/{KEY}"])
+def test_secret_anywhere_in_a_long_run(network, body):
+    assert len(PLAIN) > secret_scan.BODY
+    for around in ("", " "):
+        text = one_text(around + body + around)
+        assert secret_scan.all_spans(text, network) == [(0, len(around), 3, len(around + body))]
+    assert secret_scan.all_spans(one_text(f" {PLAIN}/{PLAIN}/12 "), network) == []
+
+
+def test_secret_parts_cover_candidates():
+    start, end = np.array([3, 100, 300, 400]), np.array([19, 148, 349, 533])
+    of, lo, hi = secret_scan.pieces(start, end)
+    assert np.unique(of).tolist() == [0, 1, 2, 3] and (hi - lo <= secret_scan.BODY).all()
+    for k in range(4):
+        assert set(range(start[k], end[k])) == {x for a, b in zip(lo[of == k], hi[of == k], strict=True) for x in range(a, b)}
+
+
 # 6: WARC
 
 
