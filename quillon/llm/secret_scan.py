@@ -1,8 +1,8 @@
 """Secret scans: base patterns, and a character convolutional network over every other candidate and its context.
 
 Base kinds are found as leftmost non-overlapping matches of each pattern, shorter ones dropped.  A candidate for the
-network is any maximal run of at least `RUN` characters of A-Z a-z 0-9 + / _ = - that has a letter and a digit and meets
-no base span.  The network sees up to 48 bytes of the candidate and 24 bytes of text on each side; a longer candidate is
+network is any maximal run, outside the base spans, of at least `RUN` characters of A-Z a-z 0-9 + / _ = - that has a
+letter and a digit.  The network sees up to 48 bytes of the candidate and 24 bytes of text on each side; a longer candidate is
 seen in overlapping parts of 48 bytes that cover it, and its score is the highest of theirs.  It is written and trained in
 numpy on labelled findings; its scores are calibrated (Platt scaling) on findings that it was not trained on, and the
 threshold is the one with the fewest false alarms of those that keep the wanted recall there.
@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -51,12 +51,14 @@ BODY_CHARS = DIGITS | LETTERS | _table(b"+/_=-")
 SIGN = _table(b":=")
 
 
-def runs(texts: Texts, wanted: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of maximal runs of wanted bytes within a text, of at least `least` bytes."""
+def runs(texts: Texts, wanted: np.ndarray, least: int, without: Iterable[tuple[int, int]] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of maximal runs of wanted bytes within a text and outside some spans, of at least `least` bytes."""
     data, offsets = texts
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     yes = wanted[data]
+    for a, b in without:
+        yes[a:b] = False
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     start = yes.copy()
@@ -89,18 +91,12 @@ def base_spans(texts: Texts) -> list[tuple[int, int, int, int]]:
 
 
 def candidates(texts: Texts, taken: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs that the network is asked about."""
-    start, end = runs(texts, BODY_CHARS, RUN)
+    """Starts and ends of the runs, less the base spans, that the network is asked about."""
+    start, end = runs(texts, BODY_CHARS, RUN, [(b, d) for _, b, _, d in taken])
     if not len(start):
         return start, end
     digits, letters = (np.append(0, np.cumsum(t[texts.data], dtype=np.int32)) for t in (DIGITS, LETTERS))
     keep = (digits[end] > digits[start]) & (letters[end] > letters[start])
-    if taken:
-        spans = sorted((b, d) for _, b, _, d in taken)
-        lo = np.array([b for b, _ in spans])
-        hi = np.maximum.accumulate(np.array([d for _, d in spans]))
-        before = np.searchsorted(lo, end, "left")
-        keep &= ~((before > 0) & (hi[np.maximum(before - 1, 0)] > start))
     return start[keep], end[keep]
 
 
