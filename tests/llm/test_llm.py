@@ -115,6 +115,27 @@ def test_decontamination_is_brute_force(spark, docs, constants):
     assert {r["doc_id"] for r in kept.collect()} == set(texts_of(docs)) - {d for d, _ in expected}
 
 
+def test_decontamination_of_repeated_shingles(spark):
+    items = [(k, " ".join(f"w{k}x{i}" for i in range(200))) for k in range(20)]
+    texts = {k: " ".join([*t.split(" ")[:179], *["0"] * 21]) for k, t in items}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["n_windows"], r["first_word"]) for r in decontaminate.matches(df, benchmark).collect()}
+    assert got == leaks(texts, items) and set(got) == {(k, k) for k in range(20)}
+
+
+def test_decontamination_ranks(spark):
+    rnd = random.Random(3)
+    rows = [[], [7], [5] * 1000, [1, 2, 3], *[[rnd.randrange(k) for _ in range(60)] for k in (1, 3, 20, 300)]]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, s array<bigint>")
+    got = by_id(df.select("doc_id", decontaminate._ranked("s").alias("r")))
+    sets = [set(got[i]["r"]) for i in range(len(rows))]
+    for i, a in enumerate(rows):
+        assert len(sets[i]) == len(got[i]["r"]) == len(a)
+        for j, b in enumerate(rows):
+            assert len(sets[i] & sets[j]) == sum((Counter(a) & Counter(b)).values())
+
+
 def test_decontamination_of_nothing(spark, docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.matches(docs, none).count() == 0
