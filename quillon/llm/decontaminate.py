@@ -24,10 +24,9 @@ from .tables import written
 
 SHINGLE = 5
 BITS = 64
-#: Lanes of a packed counter: 4 counters of 16 bits in a long, of which a window of up to 16383 shingles uses 15.
-LANES = 16
-LANE_MASK = 0x0001000100010001
-MAX_WORDS = 16_000
+#: Lanes of a packed counter: 4 counters of 16 bits in a long, of which a window of up to NARROW shingles uses 15; for
+#: more shingles 2 counters of 32 bits, of which 31 are used.
+NARROW = 16_383
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -51,15 +50,22 @@ def _ranked(shingles: str) -> Column:
     return F.expr(f"get(transform(array({shingles}), s -> if(size(array_distinct(s)) = size(s), s, {ranked})), 0)")
 
 
-def _simhash(shingles: str) -> Column:
-    """Bit b is set where more than half of the shingles' hashes have it."""
+def _folded(shingles: str, lane: int) -> str:
+    """The SimHash by counters of so many bits."""
+    mask = sum(1 << at for at in range(0, BITS, lane))
+    top = lane - 2
     folds = []
-    for shift in range(LANES):
-        total = f"aggregate({shingles}, 0L, (a, x) -> a + (shiftrightunsigned(x, {shift}) & {LANE_MASK}L))"
+    for shift in range(lane):
+        total = f"aggregate({shingles}, 0L, (a, x) -> a + (shiftrightunsigned(x, {shift}) & {mask}L))"
         most = f"(size({shingles}) div 2)"
-        # Adding 16383 - n/2 to a count sets the 15th bit of its lane if the count is above n/2; the sign stays clear.
-        folds.append(f"shiftleft(shiftrightunsigned({total} + (16383 - {most}) * {LANE_MASK}L, 14) & {LANE_MASK}L, {shift})")
-    return F.expr(" | ".join(folds))
+        # Adding 2**top - 1 - n/2 to a count sets the next bit of its lane if the count is above n/2; the sign stays clear.
+        folds.append(f"shiftleft(shiftrightunsigned({total} + ({(1 << top) - 1} - {most}) * {mask}L, {top}) & {mask}L, {shift})")
+    return " | ".join(folds)
+
+
+def _simhash(shingles: str) -> Column:
+    """Bit b is set where more than half of the shingles' hashes have it."""
+    return F.expr(f"if(size({shingles}) <= {NARROW}, {_folded(shingles, 16)}, {_folded(shingles, 32)})")
 
 
 def _cuts(radius: int) -> list[tuple[int, int]]:
@@ -79,18 +85,16 @@ def _blocks(value: str, cuts: list[tuple[int, int]]) -> Column:
 
 def items(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """The distinct items that have words: __item (their id), __w (words), __k (shingle length), __s (shingles), __b
-    (ranked shingles), __f.
-
-    An item of more than MAX_WORDS words counts as several parts of that many, under one id."""
-    cut = benchmark.select(F.col(item_id).alias("__item"), _words(text).alias("__all"))
-    cut = cut.select("__item", F.explode(F.expr(f"transform(sequence(0, (size(__all) - 1) div {MAX_WORDS}), i -> slice(__all, i * {MAX_WORDS} + 1, {MAX_WORDS}))")).alias("__words"))
+    (ranked shingles), __f, __n (a number of the row)."""
+    cut = benchmark.select(F.col(item_id).alias("__item"), _words(text).alias("__words"))
     cut = cut.where(F.size("__words") > 0).dropDuplicates()
     cut = cut.select("__item", F.size("__words").alias("__w"), F.least(F.size("__words"), F.lit(SHINGLE)).alias("__k"), F.transform("__words", lambda w: F.xxhash64(w)).alias("__h"))
     short = F.when(F.col("__k") == SHINGLE, _shingles("__h", SHINGLE))
     for k in range(1, SHINGLE):
         short = short.when(F.col("__k") == k, _shingles("__h", k))
     cut = written(cut.withColumn("__s", short).drop("__h"))
-    return written(written(cut.withColumn("__b", _ranked("__s"))).withColumn("__f", _simhash("__b")))
+    cut = written(cut.withColumn("__b", _ranked("__s")))
+    return written(cut.withColumn("__f", _simhash("__b")).withColumn("__n", F.monotonically_increasing_id()))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = 0.8, radius: int = 22, max_constants: int = 200_000, broadcast_rows: int = 50_000) -> DataFrame:
@@ -104,7 +108,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     the join of windows with items, beyond that the join is shuffled.
     """
     known = items(benchmark, item_id, item_text)
-    by_shingle = known.select("__item", "__w", "__k", "__b", "__f", F.explode(F.array_distinct("__s")).alias("__x"))
+    by_shingle = known.select("__n", "__item", "__w", "__k", "__f", F.explode(F.array_distinct("__s")).alias("__x"))
     keys = [(r["__k"], r["__x"]) for r in by_shingle.select("__k", "__x").distinct().limit(max_constants + 1).collect()]
     lengths = sorted({k for k, _ in keys}) if len(keys) <= max_constants else [r["__k"] for r in known.select("__k").distinct().collect()]
     few = len(keys) <= max_constants
@@ -128,16 +132,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
         some = some.select("__doc", F.lit(k).alias("__k"), F.col("__p.start").alias("__start"), F.col("__p.ahead").alias("__ahead"), F.get("__p.ahead", F.lit(0)).alias("__x"))
         found = some if found is None else found.unionByName(some)
     cuts = _cuts(radius)
-    sized = F.broadcast(by_shingle) if few and len(keys) <= broadcast_rows else by_shingle
+    sized, bodies = by_shingle, known.select("__n", "__b")
+    if few and len(keys) <= broadcast_rows:
+        sized, bodies = F.broadcast(sized), F.broadcast(bodies)
     # Written, so that no later filter makes the optimizer compute windows or fingerprints a second time.
-    near = written(found.join(sized, ["__k", "__x"]).select("__doc", "__item", "__start", "__b", "__f", _ranked("slice(__ahead, 1, __w - __k + 1)").alias("__a")))
+    # A window of fewer than similarity * n shingles cannot match an item of n.
+    long = F.expr(f"size(__ahead) >= {similarity}D * (__w - __k + 1) - 1e-9D")
+    near = written(found.join(sized, ["__k", "__x"]).where(long).select("__doc", "__item", "__n", "__start", "__f", _ranked("slice(__ahead, 1, __w - __k + 1)").alias("__a")))
     near = written(near.withColumn("__g", _simhash("__a")))
     # The multi-index join: a window meets its item once for each block of bits that agrees; its first block stands for all.
     mine = near.withColumn("__mine", F.explode(_blocks("__g", cuts))).withColumn("__theirs", _blocks("__f", cuts))
     mine = mine.where(F.expr("__mine.bits = get(__theirs, __mine.block).bits"))
     first = "coalesce(" + ", ".join(f"if(({_block('(__f ^ __g)', a, s)}) = 0, {b}, NULL)" for b, (a, s) in enumerate(cuts)) + ", -1)"
     mine = mine.where(F.expr(f"__mine.block = {first}")).where(F.expr(f"bit_count(__f ^ __g) <= {radius}"))
-    both = mine.withColumn("__shared", F.size(F.array_intersect("__a", "__b")))
+    both = mine.join(bodies, "__n").withColumn("__shared", F.size(F.array_intersect("__a", "__b")))
     exact = both.select("__doc", "__item", "__start", (F.col("__shared") / (F.size("__a") + F.size("__b") - F.col("__shared"))).alias("__sim")).where(F.col("__sim") >= similarity)
     best = exact.groupBy("__doc", "__item").agg(F.max("__sim").alias("similarity"), F.countDistinct("__start").alias("n_windows"), F.min("__start").alias("first_word"))
     return best.withColumnsRenamed({"__doc": doc_id, "__item": item_id})

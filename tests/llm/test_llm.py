@@ -136,6 +136,23 @@ def test_decontamination_ranks(spark):
             assert len(sets[i] & sets[j]) == sum((Counter(a) & Counter(b)).values())
 
 
+def test_decontamination_compares_whole_items(spark):
+    words = [f"w{i}" for i in range(16_001)]
+    benchmark = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
+    df = spark.createDataFrame([(1, "see w16000 there"), (2, " ".join(words[15_900:])), (3, "w16000")], "doc_id bigint, text string")
+    assert decontaminate.matches(df, benchmark).count() == 0
+    assert [(r["__w"], len(r["__b"])) for r in decontaminate.items(benchmark).collect()] == [(16_001, 15_997)]
+
+
+def test_decontamination_simhash_of_any_size(spark):
+    rnd = random.Random(6)
+    rows = [[rnd.getrandbits(64) - 2**63 for _ in range(n)] for n in (0, 1, 2, 16_383, 16_384, 40_000)] + [[-1] * n for n in (16_383, 16_384, 70_000)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, s array<bigint>")
+    for i, r in by_id(df.select("doc_id", decontaminate._simhash("s").alias("f"))).items():
+        bits = ((np.array(rows[i], np.int64).view(np.uint64)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).sum(axis=0)
+        assert r["f"] % 2**64 == sum(1 << b for b in range(64) if bits[b] > len(rows[i]) // 2)
+
+
 def test_decontamination_of_nothing(spark, docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.matches(docs, none).count() == 0
