@@ -5,8 +5,8 @@ copies: one of them, that of least id, stands for all.
 
 Chosen paths: at each node of a run, a set takes every one of its tokens whose hash with the node's path is below
 1 / (threshold * size), and goes on to that token's child.  Two sets of at least the threshold share more than one such
-child on average at each level, so they meet at the second level with more than chance 0.46 a run; runs are repeated
-until the chance to have met is the target recall.  Buckets of up to `small` sets are compared by brute force; larger
+child on average at each level, so they meet at the second level with more than chance 0.46 a run and at the last with
+0.31; runs are repeated until the chance to have met at the last level is the target recall.  Buckets of up to `small` sets are compared by brute force; larger
 ones are split on to the next level, and what is still large at the last level is compared in blocks, pair of blocks by
 pair of blocks, so no bucket is capped.
 
@@ -313,7 +313,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     count as separate texts.  A row without id has no class_id unless a copy of it has an id, and is not compared beyond
     its copies.  No rows, no rows.  Ids are integers.
     """
-    runs = runs_for(recall, threshold)
+    runs = runs_for(recall, threshold, LEVELS)
     made = written(described(docs, doc_id, text, threshold, runs, n))
     copies = written(made.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
     paths = [c for c in made.columns if c.startswith(("path", "up"))]

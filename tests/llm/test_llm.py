@@ -315,6 +315,17 @@ def test_runs_reach_the_recall():
     assert jaccard.runs_for(0.9, 0.8) < jaccard.runs_for(0.999, 0.8) == 11
 
 
+def test_runs_reach_the_recall_at_the_last_level(spark, docs, monkeypatch):
+    asked = []
+    described = jaccard.described
+    monkeypatch.setattr(jaccard, "described", lambda *a: asked.append(a[4]) or described(*a))
+    jaccard.classes(docs)
+    miss = 0.0
+    for _ in range(jaccard.LEVELS):
+        miss = math.exp(-(1 - miss))
+    assert miss ** asked[0] <= 0.001 < miss ** (asked[0] - 1)
+
+
 # 5: secrets
 
 
