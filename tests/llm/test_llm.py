@@ -637,12 +637,30 @@ def test_bpe_is_tiktoken(spark, docs):
     assert bpe.encode(df.where("doc_id < 0"), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
-def test_bpe_forgets_and_refuses(monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 2)
+def test_bpe_of_long_pieces_is_tiktoken():
+    """Pieces without a blank: letters at random, of one period, of few letters, and Chinese prose."""
+    known, rnd = reference_codec()._core_bpe, random.Random(7)
     codec = bpe.Codec(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
-    for words in ({"aab", "xyzzy"}, {"qwerty", "zxcvb"}, {"aab", "poiuyt"}):
-        codec.learn(words)
-        assert words <= set(codec.known)
+    some = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=200_000)), "天地玄黄宇宙洪荒" * 3000, "".join(chr(rnd.randint(0x4E00, 0x5200)) for _ in range(20_000))]
+    some += ["".join(rnd.choices(c, k=rnd.randint(1, 300))) for c in ("ab", "etaoin", "=-", "日本語", "\0a") for _ in range(60)]
+    some += [(p * n)[:-1] + end for p in ("x", "xy", "abc", "ing", "===-", "aaab", "\n ") for n in (33, 77, 400) for end in ("", "z", p)]
+    for text, ids in zip(some, codec.pieces_to_ids([x.encode() for x in some]), strict=True):
+        assert ids.tolist() == known.encode_single_piece(text.encode())
+        assert codec.ids_to_bytes(ids) == text.encode()
+
+
+def test_bpe_forgets_and_refuses(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 4)
+    codec, known = bpe.Codec(bpe.read_ranks(RANKS), public_tokenizers.PATTERN), reference_codec()
+    for text in ("aab xyzzy aab aab aab aab", "", " qwerty zxcvb poiuyt qwertz", " aab mnbvc", "aab qwerty"):
+        codec.forget()
+        numbers = codec.numbers(text)
+        codec.learn(numbers)
+        ids = [i for n in numbers for i in codec.ids[codec.ids_at[n] : codec.ids_at[n + 1]]]
+        assert ids == known.encode_ordinary(text)
+        assert b"".join(codec.bytes[codec.bytes_at[n] : codec.bytes_at[n + 1]].tobytes() for n in numbers) == text.encode()
+        assert len(codec.known) == len(codec.met) == len(codec.ids_at) - 1 <= 8
+    assert " aab" in codec.known and " zxcvb" not in codec.known
     with pytest.raises(ValueError):
-        codec.ids_to_bytes([np.array([99_999_999])])
-    assert codec.ids_to_bytes([np.array([], np.int64)]) == [b""]
+        codec.ids_to_bytes(np.array([99_999_999]))
+    assert codec.ids_to_bytes(np.array([], np.int64)) == b""
