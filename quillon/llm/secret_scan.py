@@ -1,11 +1,14 @@
-"""Secret scans: base patterns, and a character convolutional network over every other candidate and its context.
+"""Secret scans: base patterns, and a character convolutional network over every candidate and its context.
 
-Base kinds are found as leftmost non-overlapping matches of each pattern, shorter ones dropped.  A candidate for the
-network is any maximal run, outside the base spans, of at least `RUN` characters of A-Z a-z 0-9 + / _ = - that has a
-letter and a digit.  The network sees up to 48 bytes of the candidate and 24 bytes of text on each side; a longer candidate is
-seen in overlapping parts of 48 bytes that cover it, and its score is the highest of theirs.  It is written and trained in
-numpy on labelled findings; its scores are calibrated (Platt scaling) on findings that it was not trained on, and the
-threshold is the one with the fewest false alarms of those that keep the wanted recall there.
+Base kinds are found as leftmost non-overlapping matches of each pattern, shorter ones dropped.  Candidates are the base
+spans (of an assignment, its value) and every maximal run, outside them, of at least `RUN` characters of
+A-Z a-z 0-9 + / _ = -.  The network gives each a probability; base spans are findings whatever it says, other candidates
+are where it reaches the threshold.  It sees up to 48 bytes of the candidate and 24 bytes of text on each side; a longer
+candidate is seen in overlapping parts of 48 bytes that cover it, and its score is the highest of theirs.
+
+It is written and trained in numpy on labelled findings: a bounded sample of the corpus (base matches as secrets, runs
+without a digit as none) and seeded synthetic ones.  Its scores are calibrated (Platt scaling) on findings that it was not
+trained on, and the threshold is the one with the fewest false alarms of those that keep the wanted recall there.
 
 Texts are scanned as UTF-8 bytes: every character of the patterns is ASCII, so matches are the same as over code points;
 spans are given in code points, end exclusive.
@@ -14,6 +17,7 @@ spans are given in code points, end exclusive.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import random
 import re
 from collections.abc import Iterable, Iterator
@@ -21,7 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .words import Texts, blocks
 
@@ -36,6 +40,8 @@ SIDE, BODY = 24, 48
 WIDTH = SIDE + BODY + SIDE
 #: Bytes from one part of a long candidate to the next.
 STEP = 12
+#: Findings of the corpus with each label that the network learns from, and bytes of a long one that stand for it there.
+SAMPLE, LEARNT = 1500, 256
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -70,34 +76,43 @@ def runs(texts: Texts, wanted: np.ndarray, least: int, without: Iterable[tuple[i
     return start[long], end[long]
 
 
-def base_spans(texts: Texts) -> list[tuple[int, int, int, int]]:
-    """(text, start, kind, end) of all base matches, as bytes of Texts.data, in order of text, start and kind."""
+class Span(NamedTuple):
+    """A text's number, and a span of Texts.data; the candidate begins at `body`."""
+
+    text: int
+    start: int
+    kind: int
+    end: int
+    body: int
+
+
+def base_spans(texts: Texts) -> list[Span]:
+    """All base matches in order of text, start and kind."""
     data, offsets = texts
     found = []
     start, end = runs(texts, HEX, LEAST_HEX)
-    found += zip(np.searchsorted(offsets, start, "right") - 1, start, [2] * len(start), end, strict=True)
+    found += zip(np.searchsorted(offsets, start, "right") - 1, start, [2] * len(start), end, start, strict=True)
     signs = np.flatnonzero(SIGN[data])
     for i in np.unique(np.searchsorted(offsets, signs, "right") - 1):
         at = offsets[i]
-        found += [(i, at + m.start(), 0, at + m.end()) for m in ASSIGN.finditer(texts.text(i)) if m.end(2) - m.start(2) >= LEAST_ASSIGN]
+        found += [(i, at + m.start(), 0, at + m.end(), at + m.start(2)) for m in ASSIGN.finditer(texts.text(i)) if m.end(2) - m.start(2) >= LEAST_ASSIGN]
     whole, at, met = data.tobytes(), 0, []
     while (at := whole.find(b"AKIA", at)) >= 0:
         met.append(at)
         at += 4
     for i in np.unique(np.searchsorted(offsets, np.array(met, np.int64), "right") - 1):
         at = offsets[i]
-        found += [(i, at + m.start(), 1, at + m.end()) for m in ACCESS.finditer(texts.text(i)) if m.end() - m.start() >= LEAST_ACCESS]
-    return sorted((int(a), int(b), c, int(d)) for a, b, c, d in found)
+        found += [(i, at + m.start(), 1, at + m.end(), at + m.start()) for m in ACCESS.finditer(texts.text(i)) if m.end() - m.start() >= LEAST_ACCESS]
+    return [Span(*map(int, x)) for x in sorted(found)]
 
 
-def candidates(texts: Texts, taken: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs, less the base spans, that the network is asked about."""
-    start, end = runs(texts, BODY_CHARS, RUN, [(b, d) for _, b, _, d in taken])
-    if not len(start):
-        return start, end
-    digits, letters = (np.append(0, np.cumsum(t[texts.data], dtype=np.int32)) for t in (DIGITS, LETTERS))
-    keep = (digits[end] > digits[start]) & (letters[end] > letters[start])
-    return start[keep], end[keep]
+def candidates(texts: Texts) -> list[Span]:
+    """The base spans and the runs outside them, in order of text, start and kind."""
+    base = base_spans(texts)
+    start, end = runs(texts, BODY_CHARS, RUN, [(x.start, x.end) for x in base])
+    of = np.searchsorted(texts.offsets, start, "right") - 1
+    rest = [Span(i, a, 3, b, a) for i, a, b in zip(of.tolist(), start.tolist(), end.tolist(), strict=True)]
+    return sorted(base + rest) if base and rest else base or rest
 
 
 def windows(texts: Texts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -123,15 +138,16 @@ def pieces(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class Finding(NamedTuple):
-    before: str
-    body: str
-    after: str
+    before: bytes
+    body: bytes
+    after: bytes
     secret: bool
 
 
-def labelled_findings(n: int = 2400, seed: int = 5) -> list[Finding]:
+def labelled_findings(n: int = 2400, seed: int = 5, without: tuple[int, ...] = (), only: tuple[int, ...] = ()) -> list[Finding]:
     """Findings labelled by how they were made, half of them secrets: random keys, tokens and digests in code, settings
-    and prose against words, numbers, names, paths, dates and identifiers in the same places."""
+    and prose against words, numbers, names, paths, dates and identifiers in the same places.  without, only: shapes of
+    secrets, by number, to leave out or to make alone."""
     rnd = random.Random(seed)
     lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     parts = ["th", "er", "on", "an", "in", "re", "ed", "tion", "able", "user", "data", "node", "page", "test", "item", "ver"]
@@ -154,6 +170,12 @@ def labelled_findings(n: int = 2400, seed: int = 5) -> list[Finding]:
         lambda: some(lower + digit, 24, 40),
         lambda: some(upper + digit, 18, 40),
     ]
+    def syllables(lo: int, hi: int) -> str:
+        out = ""
+        while len(out) < lo:
+            out += rnd.choice(["", *"bcdfghjklmnprstvwz", "ch", "sch", "st", "tr", "th", "qu"]) + rnd.choice([*"aeiou", "ei", "au", "ou", "ie"]) + rnd.choice(["", "", "n", "r", "t", "st", "ng"])
+        return out[: max(lo, hi)]
+
     plain = [
         lambda: "_".join(word() for _ in range(rnd.randint(3, 5))) + some(digit, 1, 3),
         lambda: "-".join([some(digit, 4, 4), some(digit, 2, 2), some(digit, 2, 2)]) + "-" + word() + word(),
@@ -163,15 +185,24 @@ def labelled_findings(n: int = 2400, seed: int = 5) -> list[Finding]:
         lambda: word().upper() + "_" + word().upper() + "_" + word().upper() + some(digit, 1, 2),
         lambda: "=" * rnd.randint(12, 30) + word() + some(digit, 1, 1),
         lambda: "1" * rnd.randint(10, 20) + "a" * rnd.randint(8, 16),
+        lambda: syllables(16, 40),
+        lambda: syllables(16, 40),
+        lambda: syllables(16, 30).capitalize(),
+        lambda: "".join(syllables(3, 9).capitalize() for _ in range(rnd.randint(3, 5))),
+        lambda: rnd.choice("_-/").join(syllables(2, 9) for _ in range(rnd.randint(3, 7))),
+        lambda: rnd.choice("_-").join(syllables(3, 9).upper() for _ in range(rnd.randint(3, 5))),
+        lambda: some(digit, 16, 24),
+        lambda: rnd.choice("=_-/+") * rnd.randint(16, 60),
     ]
+    secret = [f for k, f in enumerate(secret) if k not in without and (not only or k in only)]
     around = [lambda: (prose(4) + " ", " " + prose(4)), lambda: (word() + "=", "\n" + prose(3)), lambda: (prose(2) + ' "', '" ' + prose(2)), lambda: ("key: ", "\n"), lambda: ("", ""), lambda: (prose(3) + " (", ") " + prose(3))]
     out = []
     for k in range(n):
         before, after = rnd.choice(around)()
         body = rnd.choice(secret if k % 2 else plain)()
-        while not (any(c in digit for c in body) and any(c.isalpha() for c in body) and len(body) >= RUN):
-            body += rnd.choice(digit) + (some(lower + digit, 4, 8) if k % 2 else word())
-        out.append(Finding(before, body, after, bool(k % 2)))
+        while k % 2 and not (any(c in digit for c in body) and any(c.isalpha() for c in body)) or len(body) < RUN:
+            body += rnd.choice(digit) + some(lower + digit, 4, 8) if k % 2 else word()
+        out.append(Finding(before.encode(), body.encode(), after.encode(), bool(k % 2)))
     return out
 
 
@@ -268,9 +299,8 @@ def train(findings: list[Finding], recall: float = 0.98) -> Network:
         raise ValueError("no labelled findings")
     seen, of = [], []
     for i, f in enumerate(findings):
-        before, body, after = (s.encode() for s in f[:3])
-        data = np.frombuffer(before + body + after, np.uint8)
-        _, lo, hi = pieces(np.array([len(before)]), np.array([len(before) + len(body)]))
+        data = np.frombuffer(f.before + f.body + f.after, np.uint8)
+        _, lo, hi = pieces(np.array([len(f.before)]), np.array([len(f.before) + len(f.body)]))
         seen.append(windows(Texts(data, np.array([0, len(data)])), lo, hi))
         of += [i] * len(lo)
     x, of, y = np.concatenate(seen), np.array(of), np.array([f.secret for f in findings], np.float32)
@@ -288,8 +318,9 @@ def train(findings: list[Finding], recall: float = 0.98) -> Network:
     return net
 
 
-def judged(texts: Texts, net: Network, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def judged(texts: Texts, net: Network, found: list[Span]) -> np.ndarray:
     """The highest probability of each candidate's parts."""
+    start, end = (np.array([x[k] for x in found], np.int64) for k in (4, 3))
     of, lo, hi = pieces(start, end)
     best = np.zeros(len(start))
     for k in range(0, len(of), 4096):
@@ -297,66 +328,105 @@ def judged(texts: Texts, net: Network, start: np.ndarray, end: np.ndarray) -> np
     return best
 
 
-def all_spans(texts: Texts, net: Network) -> list[tuple[int, int, int, int]]:
-    """Base spans and the network's, as base_spans() gives them."""
-    found = base_spans(texts)
-    start, end = candidates(texts, found)
-    yes = judged(texts, net, start, end) >= net.threshold if len(start) else np.zeros(0, bool)
-    of = np.searchsorted(texts.offsets, start[yes], "right") - 1
-    return sorted([*found, *zip(of.tolist(), start[yes].tolist(), [3] * int(yes.sum()), end[yes].tolist(), strict=True)])
+def scored(texts: Texts, net: Network) -> list[tuple[Span, float, bool]]:
+    """Every candidate, its probability, and whether it is a finding."""
+    found = candidates(texts)
+    return [(x, score, x.kind < 3 or score >= net.threshold) for x, score in zip(found, judged(texts, net, found).tolist(), strict=True)]
+
 
+def corpus_findings(docs: DataFrame, text: str = "text", most: int = SAMPLE) -> list[Finding]:
+    """Up to `most` different findings with each label, those of least hash of all in docs: base matches as secrets, runs
+    without a digit as none.  Of a candidate of over LEARNT bytes the first ones are taken."""
+    rest = LETTERS | _table(b"+/_=-")
 
-def default_network(spark: SparkSession, findings: list[Finding] | None = None, recall: float = 0.98):
-    """Trained on the driver, from findings of a fixed number, and broadcast."""
-    return spark.sparkContext.broadcast(train(findings or labelled_findings(), recall))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: list[dict[bytes, tuple]] = [{}, {}]
+
+        def shrunk(size: int) -> None:
+            for k in (0, 1):
+                if len(least[k]) > size:
+                    least[k] = dict(heapq.nsmallest(most, least[k].items()))
+
+        for _, texts in blocks(batches, "__text"):
+            plain = np.append(0, np.cumsum(~rest[texts.data], dtype=np.int32)) if len(texts.data) else np.zeros(1, np.int32)
+            for x in candidates(texts):
+                if x.kind == 3 and plain[x.end] > plain[x.body]:
+                    continue
+                lo, hi, end = texts.offsets[x.text], texts.offsets[x.text + 1], min(x.end, x.body + LEARNT)
+                cut = [texts.data[a:b].tobytes() for a, b in ((max(lo, x.body - SIDE), x.body), (x.body, end), (x.end, min(hi, x.end + SIDE)))]
+                least[x.kind < 3].setdefault(hashlib.blake2b(b"\0".join(cut), digest_size=8).digest(), tuple(cut))
+            shrunk(16 * most)
+        shrunk(most)
+        for label in (0, 1):
+            rows = [(key, *cut) for key, cut in sorted(least[label].items())]
+            columns = [pa.array([r[k] for r in rows], pa.binary()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([label] * len(rows), pa.int32())], ["key", "before", "body", "after", "label"])
+
+    found = docs.select(F.col(text).cast("string").alias("__text")).mapInArrow(run, "key binary, before binary, body binary, after binary, label int").dropDuplicates(["label", "key"])
+    rows = [r for label in (0, 1) for r in found.where(F.col("label") == label).orderBy("key").limit(most).collect()]
+    rows.sort(key=lambda r: bytes(r["key"]))
+    return [Finding(bytes(r["before"]), bytes(r["body"]), bytes(r["after"]), r["label"] == 1) for r in rows]
+
+
+def default_network(docs: DataFrame, text: str, findings: list[Finding] | None = None, recall: float = 0.98):
+    """Trained on the driver, from findings of a bounded number, and broadcast."""
+    return docs.sparkSession.sparkContext.broadcast(train(findings or corpus_findings(docs, text) + labelled_findings(), recall))
 
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), findings: list[Finding] | None = None, recall: float = 0.98) -> DataFrame:
-    """A row for each document: keep, n_assign, n_access, n_hex, n_network, base_sha256, spans.
+    """A row for each document: keep, n_assign, n_access, n_hex, n_network, base_sha256, spans, n_candidates, scores.
 
-    spans lists kind:start:end by start, then kind, comma-joined; base_sha256 is the digest of the base spans alone.  A
-    null text counts as empty: no spans, an empty list.  Repeated rows give repeated results.  A map over partitions.
+    spans lists kind:start:end by start, then kind, comma-joined; base_sha256 is the digest of the base spans alone.  scores
+    lists kind:start:end:probability of every candidate, base spans too, found or not, in the same order.  A null text
+    counts as empty: no spans, empty lists.  Repeated rows, and rows without id, give a result each; a text of any length
+    is scanned whole; an empty table gives no rows.  A map over partitions, after one more that samples findings to learn
+    from (findings: other ones to learn from).
     """
-    shared = default_network(docs.sparkSession, findings, recall)
+    shared = default_network(docs, text, findings, recall)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches, "__text"):
-            spans: list[list[tuple[int, int, int]]] = [[] for _ in range(batch.num_rows)]
-            found = all_spans(texts, shared.value)
+            found = scored(texts, shared.value)
             inner = np.append(0, np.cumsum((texts.data & 0xC0) == 0x80)) if found else None
-            for i, start, kind, end in found:
-                at = texts.offsets[i]
-                spans[i].append((int(start - at - (inner[start] - inner[at])), kind, int(end - at - (inner[end] - inner[at]))))
-            counts = [pa.array([sum(s[1] == k for s in x) for x in spans], pa.int64()) for k in range(4)]
-            text_of = lambda x, last: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in x if k <= last)
-            base = pa.array([hashlib.sha256(text_of(x, 2).encode()).hexdigest() for x in spans])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *counts, base, pa.array([text_of(x, 3) for x in spans], pa.string())], names)
-
-    names = [*keep, "n_assign", "n_access", "n_hex", "n_network", "base_sha256", "spans"]
-    fields = [docs.schema[k] for k in keep] + [T.StructField(n, T.LongType()) for n in names[len(keep) : -2]] + [T.StructField(n, T.StringType()) for n in names[-2:]]
+            mine: list[list[tuple[int, str, float, bool]]] = [[] for _ in range(batch.num_rows)]
+            for x, score, yes in found:
+                at = texts.offsets[x.text]
+                a, b = (int(y - at - (inner[y] - inner[at])) for y in (x.start, x.end))
+                mine[x.text].append((x.kind, f"{KINDS[x.kind]}:{a}:{b}", score, yes))
+            counts = [pa.array([sum(k == kind and yes for k, _, _, yes in x) for x in mine], pa.int64()) for kind in range(4)]
+            base = pa.array([hashlib.sha256(",".join(t for k, t, _, _ in x if k < 3).encode()).hexdigest() for x in mine])
+            spans = pa.array([",".join(t for _, t, _, yes in x if yes) for x in mine], pa.string())
+            scores = pa.array([",".join(f"{t}:{score:.3f}" for _, t, score, _ in x) for x in mine], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *counts, base, spans, pa.array([len(x) for x in mine], pa.int64()), scores], names)
+
+    types = {"base_sha256": T.StringType(), "spans": T.StringType(), "scores": T.StringType()}
+    added = ["n_assign", "n_access", "n_hex", "n_network", "base_sha256", "spans", "n_candidates", "scores"]
+    names = [*keep, *added]
+    fields = [docs.schema[k] for k in keep] + [T.StructField(n, types.get(n, T.LongType())) for n in added]
     return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, T.StructType(fields))
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", findings: list[Finding] | None = None, recall: float = 0.98) -> DataFrame:
-    """docs, all columns and rows, each found span (overlapping ones as one) replaced by the mark; a null text stays null."""
-    shared = default_network(docs.sparkSession, findings, recall)
+    """docs, all columns and rows, each found span (overlapping ones as one) replaced by the mark; a null text stays null,
+    an empty table empty, and repeated rows come out alike."""
+    shared = default_network(docs, text, findings, recall)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches, text):
-            found = all_spans(texts, shared.value)
+            found = [x for x, _, yes in scored(texts, shared.value) if yes]
             if not found:
                 yield batch
                 continue
             k = names.index(text)
             values = batch.column(k).to_pylist()
             spans: dict[int, list[list[int]]] = {}
-            for i, start, _, end in found:
-                mine = spans.setdefault(i, [])
-                if mine and start < mine[-1][1]:
-                    mine[-1][1] = max(mine[-1][1], end)
+            for x in found:
+                mine = spans.setdefault(x.text, [])
+                if mine and x.start < mine[-1][1]:
+                    mine[-1][1] = max(mine[-1][1], x.end)
                 else:
-                    mine.append([start, end])
+                    mine.append([x.start, x.end])
             for i, mine in spans.items():
                 cuts = [texts.offsets[i], *(x for s in mine for x in s), texts.offsets[i + 1]]
                 values[i] = mark.join(texts.data[a:b].tobytes().decode() for a, b in zip(cuts[::2], cuts[1::2], strict=True))
