@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.hashing import constant_md5, hashed, positions, typed
-from .functions.params import BloomParams, CountMinParams, CuckooParams, HllParams, LossyParams, QuotientParams
+from .functions.params import BloomParams, CountMinParams, CuckooParams, HllParams, LossyParams, QuotientParams, TDigestParams
 from .operators import bloom, countmin, cuckoo, exactset, hll, lossy, quotient, reservoir, tdigest, topk
 from .plans.numbering import numbered, shared_folder
 from .sources import states
@@ -295,6 +295,12 @@ def cms_running_add(spark, sf_dir):
     return countmin.running(t(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", CMS)
 
 
+@query(f"""WITH c AS (SELECT o_orderkey AS s, floor(o_totalprice)::BIGINT AS n, unnest({at('o_custkey', CMS.w, CMS.d)}) AS col, unnest(range({CMS.d})) AS row FROM orders)
+SELECT s AS o_orderkey, min(n)::BIGINT AS estimate FROM (SELECT s, sum(n) OVER (PARTITION BY row, col ORDER BY s ROWS UNBOUNDED PRECEDING) AS n FROM c) GROUP BY s""")
+def cms_running_weighted(spark, sf_dir):
+    return countmin.running(t(spark, sf_dir, "orders").withColumn("n", F.floor("o_totalprice").cast("bigint")), "o_custkey", "o_orderkey", CMS, "n")
+
+
 @query("SELECT count(*)::BIGINT AS total, TRUE AS never_low, TRUE AS mostly_close FROM lineitem")
 def cms_bound(spark, sf_dir):
     lines = t(spark, sf_dir, "lineitem")
@@ -396,9 +402,19 @@ _QS = [0.05, 0.25, 0.5, 0.75, 0.95]
 def tdigest_quantile(spark, sf_dir):
     events, scale = t(spark, sf_dir, "events"), tdigest.K1(100.0)
     found = tdigest.evaluated(tdigest.build(events, "value", scale), scale, quantiles=_QS)
-    ranked = found.crossJoin(F.broadcast(events.agg(F.count("*").alias("n")))).join(events.select(F.col("value").alias("x")), F.col("x") <= F.col("value"), "left")
-    share = ranked.groupBy("at", "n").agg((F.count("x") / F.col("n")).alias("share"))
-    return share.select(F.col("at").alias("q"), (F.abs(F.col("share") - F.col("at")) < 0.02).alias("close"))
+    # One row of five quantiles beside all events, whose shares below each are counted in one pass.
+    row = found.agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("p"))
+    counts = [F.struct(F.lit(q).alias("q"), F.avg((F.col("value") <= F.col("p")[k]["value"]).cast("double")).alias("share")) for k, q in enumerate(_QS)]
+    share = events.crossJoin(F.broadcast(row)).agg(F.array(*counts).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+    return share.select("q", (F.abs(F.col("share") - F.col("q")) < 0.02).alias("close"))
+
+
+@query("SELECT sum(l_quantity) AS count, round(sum(l_quantity * l_extendedprice)) AS sum, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 6) AS mean, min(l_extendedprice) AS min, max(l_extendedprice) AS max FROM lineitem")
+def tdigest_weighted(spark, sf_dir):
+    d = tdigest.state(t(spark, sf_dir, "lineitem"), "l_extendedprice", TDigestParams(), weight="l_quantity").table
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    total = add(F.zip_with("means", "weights", lambda m, w: m * w))
+    return d.select(add(F.col("weights")).alias("count"), F.round(total).alias("sum"), F.round(total / add(F.col("weights")), 6).alias("mean"), F.col("least").alias("min"), F.col("most").alias("max"))
 
 
 @query("SELECT x::DOUBLE AS x, TRUE AS close FROM (SELECT unnest([10.0, 50.0, 100.0, 200.0]) AS x)")
@@ -480,25 +496,46 @@ def cmsheap_topk(spark, sf_dir):
     return topk.top_k(t(spark, sf_dir, "lineitem"), "l_partkey", CMS, 10)
 
 
-@query(f"SELECT l_partkey AS obj, estimate AS n FROM ({_POINTS}) ORDER BY estimate DESC, l_partkey DESC LIMIT 10")
+def _half(even: int) -> str:
+    """SQL of the 40 values of half of the lines that its own sketch estimates highest."""
+    cells, some = _cells("lineitem", "l_partkey", where=f"WHERE l_suppkey % 2 = {even}"), f"SELECT DISTINCT l_partkey FROM lineitem WHERE l_suppkey % 2 = {even}"
+    return f"""(SELECT l_partkey FROM (SELECT l_partkey, min(cnt) AS n FROM (SELECT l_partkey, unnest({at('l_partkey', CMS.w, CMS.d)}) AS col, unnest(range({CMS.d})) AS row FROM ({some}))
+JOIN ({cells}) USING (row, col) GROUP BY l_partkey) ORDER BY n DESC, l_partkey DESC LIMIT 40)"""
+
+
+@query(_half(0).replace("SELECT l_partkey FROM", "SELECT l_partkey AS obj, n::BIGINT AS n FROM", 1))
+def topk_candidates(spark, sf_dir):
+    half = t(spark, sf_dir, "lineitem").where("l_suppkey % 2 = 0")
+    return topk.candidates(half, "l_partkey", countmin.build(half, "l_partkey", CMS), 40)
+
+
+@query(f"SELECT l_partkey AS obj, estimate AS n FROM ({_POINTS}) WHERE l_partkey IN ({_half(0)} UNION ALL {_half(1)}) ORDER BY estimate DESC, l_partkey DESC LIMIT 10")
 def cmsheap_merge(spark, sf_dir):
     lines, parts = t(spark, sf_dir, "lineitem"), []
-    for even in (True, False):
-        half = lines.where((F.col("l_suppkey") % 2 == 0) == F.lit(even))
+    for even in (0, 1):
+        half = lines.where(F.col("l_suppkey") % 2 == even)
         sketch = countmin.build(half, "l_partkey", CMS)
-        # Every value of a half is handed on, so the merged ten are those of the whole.
-        parts += [countmin.query(sketch, half, "l_partkey", "n").withColumnRenamed("l_partkey", "obj"), sketch]
+        parts += [topk.candidates(half, "l_partkey", sketch, 40), sketch]
     return topk.merged_top_k(*parts, 10)[0]
 
 
-@query()
+# The estimates of so few values are exact, so a heap that admits whatever exceeds its least holds the most frequent.
+# Which of equally frequent ones it holds depends on the order of rows; how frequent they are does not.
+@query("""SELECT event_type AS "group", (6 - row_number() OVER (PARTITION BY event_type ORDER BY n DESC))::INTEGER AS rank, n::BIGINT AS n
+FROM (SELECT event_type, floor(sqrt(value))::BIGINT AS obj, count(*) AS n FROM events GROUP BY ALL) QUALIFY rank >= 1""")
 def cmsheap_faithful(spark, sf_dir):
-    return topk.top_k_sequentially(t(spark, sf_dir, "events"), "user_id", "event_id", "event_type", CMS, 5)
+    events = t(spark, sf_dir, "events").withColumn("obj", F.floor(F.sqrt("value")).cast("bigint"))
+    exact = events.groupBy(F.col("event_type").alias("group"), "obj").agg(F.count("*").alias("n"))
+    return topk.top_k_sequentially(events, "obj", "event_id", "event_type", CMS, 5).join(exact, ["group", "obj"]).select("group", "rank", "n")
 
 
-@query()
+@query("SELECT row_number() OVER (ORDER BY n DESC)::INTEGER AS rank, n, TRUE AS exact FROM (SELECT count(*)::BIGINT AS n FROM events GROUP BY user_id) QUALIFY rank <= 10")
 def approx_top_k_builtin(spark, sf_dir):
-    return topk.approx_top_k(t(spark, sf_dir, "events"), "user_id", 10)
+    events = t(spark, sf_dir, "events")
+    found = topk.approx_top_k(events, "user_id", 10)
+    exact = events.groupBy(F.col("user_id").alias("obj")).agg(F.count("*").alias("c"))
+    ranked = found.agg(F.sort_array(F.collect_list(F.struct("n", "obj")), asc=False).alias("x")).select(F.posexplode("x").alias("k", "x"))
+    return ranked.select((F.col("k") + 1).alias("rank"), F.col("x.n").alias("n"), F.col("x.obj").alias("obj")).join(exact, "obj").select("rank", "n", (F.col("n") == F.col("c")).alias("exact"))
 
 
 # Reservoir samples

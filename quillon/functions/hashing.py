@@ -43,6 +43,12 @@ def hashed(col: Column | str, salt: int = 0, family: str = "xxhash64") -> Column
     return F.when(col.isNotNull(), value)
 
 
+def whole(col: Column | str, salt: int = 0, family: str = "xxhash64") -> Column:
+    """H(salt, col) with all of the family's bits: of 64, the upper one is the sign."""
+    col = canonical(col)
+    return F.when(col.isNotNull(), F.xxhash64(F.lit(salt), col)) if family == "xxhash64" else hashed(col, salt, family)
+
+
 def constant(salt: int, family: str = "xxhash64") -> Column:
     """H(salt) of no element, which is the empty string, or 0 where only integers are hashed."""
     return hashed(F.lit(0 if family == "sip13" else ""), salt, family)

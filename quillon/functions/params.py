@@ -30,6 +30,10 @@ class BloomParams:
         return BloomParams(max(1, int(-n * math.log(p) / math.log(2) ** 2)), max(1, int(-math.log2(p))), family)
 
 
+#: Bits of each hash family that a fingerprint can use.
+HASH_BITS = {"xxhash64": 64, "md5_60": 60, "sip13": 64}
+
+
 @dataclass(frozen=True)
 class CuckooParams:
     """Buckets of `bucketsize` slots, and fingerprints of `l_fingerprint` bits."""
@@ -42,7 +46,8 @@ class CuckooParams:
     def __post_init__(self) -> None:
         _need(self.bucketsize >= 2, "bucketsize must be greater or equal than 2")
         _need(self.n_buckets >= 2 and self.n_buckets & (self.n_buckets - 1) == 0, "n_buckets must be a power of 2 and greater or equal than 2")
-        _need(1 < self.l_fingerprint <= 64, "l_fingerprint must be greater than 1 and at most 64")
+        most = HASH_BITS[self.family]
+        _need(1 < self.l_fingerprint <= most, f"l_fingerprint must be greater than 1 and at most {most}")
 
     @staticmethod
     def for_properties(false_positive_rate: float, n: int, bucketsize: int = 4, family: str = "xxhash64") -> CuckooParams:
@@ -66,7 +71,8 @@ class QuotientParams:
     def __post_init__(self) -> None:
         _need(self.bits_quotient > 0, "bits_quotient must be greater than 0")
         _need(self.bits_remainder > 0, "bits_remainder must be greater than 0")
-        _need(self.bits_quotient + self.bits_remainder <= 60, "bits_quotient + bits_remainder must be at most 60")
+        most = HASH_BITS[self.family]
+        _need(self.bits_quotient + self.bits_remainder <= most, f"bits_quotient + bits_remainder must be at most {most}")
 
 
 @dataclass(frozen=True)
@@ -123,3 +129,30 @@ class LossyParams:
     def with_width(width: int) -> LossyParams:
         _need(width > 0, "width must be greater than 0")
         return LossyParams(1 / width, width)
+
+
+@dataclass(frozen=True)
+class TDigestParams:
+    """A scale function by name (K0, K1, K2, K3), its delta, and how many rows are taken in between compressions."""
+
+    scale: str = "K1"
+    delta: float = 100.0
+    max_backlog: int = 10_000
+
+    def __post_init__(self) -> None:
+        _need(self.scale in ("K0", "K1", "K2", "K3"), "scale must be K0, K1, K2 or K3")
+        _need(self.delta > 1 and math.isfinite(self.delta), f"delta ({self.delta}) must be greater than 1 and finite")
+        _need(self.max_backlog > 0, "max_backlog must be greater than 0")
+
+
+@dataclass(frozen=True)
+class ReservoirParams:
+    """k rows, known by the unique column id; samples of equal seed and family can be merged."""
+
+    k: int
+    id: str
+    seed: int = 0
+    family: str = "xxhash64"
+
+    def __post_init__(self) -> None:
+        _need(self.k >= 1, "k must be greater than 0")

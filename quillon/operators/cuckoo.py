@@ -12,7 +12,7 @@ import random
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.hashing import BITS, hashed
+from ..functions.hashing import hashed, whole
 from ..functions.params import CuckooParams
 from ..sources.states import State, check_same
 
@@ -26,9 +26,12 @@ class CuckooFilterFull(Exception):
 
 
 def fingerprint(col: str | Column, params: CuckooParams) -> Column:
-    """1 + hash mod (2^l - 1), never 0; at most as wide as the hash family."""
-    bits = min(params.l_fingerprint, BITS[params.family], 62)
-    return F.pmod(hashed(col, 0, params.family), F.lit((1 << bits) - 1)) + 1
+    """1 + hash mod (2^l - 1), never 0; of 64 bits, the upper one is the sign."""
+    bits = params.l_fingerprint
+    if bits < 64:
+        return F.pmod(hashed(col, 0, params.family), F.lit((1 << bits) - 1)) + 1
+    h = whole(col, 0, params.family)
+    return F.when(h == -1, F.lit(1)).when(h == (1 << 63) - 1, F.lit(-(1 << 63))).otherwise(h + 1)
 
 
 def keyed(df: DataFrame, col: str, params: CuckooParams) -> DataFrame:

@@ -90,6 +90,19 @@ def estimate(b: int, inverse_sum: float, zeros: int) -> int:
     return int(h if h <= THRESHOLDS[b - 4] else e)
 
 
+def estimates(b: int, inverse_sum: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    """estimate() of each pair."""
+    m = 1 << b
+    e = alpha(m) * m * m / inverse_sum
+    raw, bias = bias_curve(b)
+    # The neighbours are a run of the curve that begins at `at`: the first run whose next value would be farther away.
+    at = np.minimum(np.searchsorted((raw[:-NEIGHBORS] + raw[NEIGHBORS:]) / 2, e, "left"), len(raw) - NEIGHBORS)
+    total = np.append(0.0, np.cumsum(bias))
+    e = np.where(e <= 5 * m, e - (total[at + NEIGHBORS] - total[at]) / NEIGHBORS, e)
+    h = np.where(zeros > 0, m * np.log(m / np.maximum(zeros, 1)), e)
+    return np.where(h <= THRESHOLDS[b - 4], h, e).astype("int64")
+
+
 def summary(state: State, by: list[str] | None = None) -> DataFrame:
     """by, inverse_sum, zeros of each group."""
     m = state.params.m
@@ -103,7 +116,7 @@ def count(state: State, by: list[str] | None = None, name: str = "estimate") ->
 
     @F.pandas_udf("bigint")
     def estimated(s: pd.Series, z: pd.Series) -> pd.Series:
-        return pd.Series([estimate(b, x, int(y)) for x, y in zip(s, z, strict=True)], dtype="int64")
+        return pd.Series(estimates(b, s.to_numpy(float), z.to_numpy("int64")))
 
     return summary(state, by).select(*(by or []), estimated("inverse_sum", "zeros").alias(name))
 

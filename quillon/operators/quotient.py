@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.hashing import hashed
+from ..functions.hashing import hashed, whole
 from ..functions.params import QuotientParams
 from ..sources.states import State, check_same
 
@@ -17,8 +17,9 @@ class QuotientFilterFull(Exception):
 
 def keyed(df: DataFrame, col: str, params: QuotientParams) -> DataFrame:
     """df with quotient and remainder: of the low bits of the hash, the upper and the lower ones."""
-    h, r = hashed(col, 0, params.family), params.bits_remainder
-    quotient = F.shiftright(h, r).bitwiseAND(F.lit((1 << params.bits_quotient) - 1))
+    r = params.bits_remainder
+    h = (whole if params.bits_quotient + r > 60 else hashed)(col, 0, params.family)
+    quotient = F.shiftrightunsigned(h, r).bitwiseAND(F.lit((1 << params.bits_quotient) - 1))
     return df.withColumn("quotient", quotient).withColumn("remainder", h.bitwiseAND(F.lit((1 << r) - 1)))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import hashed
+from ..functions.params import ReservoirParams
+from ..sources.states import State, check_same
 
 
 def _key(id_: str, seed: int, family: str) -> Column:
@@ -30,3 +32,24 @@ def sample_by(df: DataFrame, k: int, id_: str, by: list[str], seed: int = 0, fam
 def merge(a: DataFrame, b: DataFrame, k: int, id_: str, seed: int = 0, family: str = "xxhash64") -> DataFrame:
     """The sample of the union of what two samples were drawn from (with the same k, seed and family)."""
     return sample(a.unionByName(b), k, id_, seed, family)
+
+
+def state(df: DataFrame, params: ReservoirParams, type_tag: str = "any") -> State:
+    """The sample as a state: its rows, and in each `seen`, how many rows it was drawn from."""
+    rows = sample(df, params.k, params.id, params.seed, params.family)
+    return State(rows.crossJoin(F.broadcast(df.agg(F.count("*").alias("seen")))), params, type_tag)
+
+
+def extended(a: State, df: DataFrame) -> State:
+    """The sample after more rows."""
+    return merged(a, state(df, a.params, a.type_tag))
+
+
+def merged(a: State, b: State) -> State:
+    """ValueError for samples of different k, id, seed or family."""
+    check_same(a, b)
+    both = a.table.unionByName(b.table)
+    counts = [x.table.agg(F.coalesce(F.max("seen"), F.lit(0)).alias("s")) for x in (a, b)]
+    seen = counts[0].union(counts[1]).agg(F.sum("s").alias("seen"))
+    rows = sample(both.drop("seen"), a.params.k, a.params.id, a.params.seed, a.params.family)
+    return a.with_table(rows.crossJoin(F.broadcast(seen)))

@@ -1,7 +1,7 @@
 """t-digests: centroids whose size a scale function bounds, for quantiles and distribution functions.
 
 Tasks make a digest of each run of their rows and merge these; the partial digests, a few hundred centroids each, are
-shuffled by group and merged once more.  Merging two digests is compressing their centroids together.  Finding where a
+shuffled by parts of groups and merged, and these by group and merged once more.  Merging two digests is compressing their centroids together.  Finding where a
 centroid ends is a binary search in the running sum of weights, so compressing costs a sort and a step for each centroid.
 """
 
@@ -17,6 +17,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.params import TDigestParams
+from ..sources.states import State, check_same
+
+#: Parts of a group whose digests are merged before the group's are.
+BRANCHES = 64
+
 
 class Scale(Protocol):
     """How finely quantiles near q are kept: a centroid spans at most 1 in k = f(q)."""
@@ -217,10 +223,10 @@ def _digest(scale: Scale, row) -> Digest:
     return Digest(scale, np.asarray(row["means"], float), np.asarray(row["weights"], float), int(row["n"]), float(row["least"]), float(row["most"]))
 
 
-def build(df: DataFrame, col: str, scale: Scale, weight: str | None = None, by: str | None = None) -> DataFrame:
+def build(df: DataFrame, col: str, scale: Scale, weight: str | None = None, by: str | None = None, max_backlog: int = 10_000) -> DataFrame:
     """g, means, weights, n, least, most: a digest for each value of `by` (as text; one group, '', without it).  NULL
     values and weights are left out; groups of NULL are one group.  What a task holds is a digest for each group it meets;
-    where these are very many, it passes them on early."""
+    where these are very many, it passes them on early.  max_backlog: rows of a group that are taken in at once."""
     weight_col = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     group = F.lit("") if by is None else F.col(by).cast("string")
     rows = df.select(group.alias("g"), F.col(col).cast("double").alias("x"), weight_col.alias("w")).where("x IS NOT NULL AND w IS NOT NULL")
@@ -235,7 +241,8 @@ def build(df: DataFrame, col: str, scale: Scale, weight: str | None = None, by:
             pdf = batch.to_pandas()
             for g, part in pdf.groupby("g", dropna=False):
                 g = None if g is None or g != g else g
-                held[g] = held.get(g, Digest.empty(scale)).add(part["x"].to_numpy(), part["w"].to_numpy())
+                for at in range(0, len(part), max_backlog):
+                    held[g] = held.get(g, Digest.empty(scale)).add(part["x"].to_numpy()[at : at + max_backlog], part["w"].to_numpy()[at : at + max_backlog])
             if len(held) > 10_000:
                 yield out()
                 held.clear()
@@ -247,7 +254,8 @@ def build(df: DataFrame, col: str, scale: Scale, weight: str | None = None, by:
 
 
 def merge(states: DataFrame, scale: Scale) -> DataFrame:
-    """One digest for each g of any number of states; a group has at most one row from each task that made states."""
+    """One digest for each g of any number of states.  A group has a row from each task that made states; these are merged
+    in two steps, of BRANCHES parts of the group first, so that no task holds them all."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         d = Digest.empty(scale)
@@ -255,7 +263,23 @@ def merge(states: DataFrame, scale: Scale) -> DataFrame:
             d = d.merge(_digest(scale, row))
         return pd.DataFrame([{"g": pdf["g"].iloc[0], **_row(d)}])
 
-    return states.groupBy("g").applyInPandas(run, f"g string, {STATE}")
+    schema = f"g string, {STATE}"
+    dealt = states.withColumn("__part", F.pmod(F.xxhash64("n", "least", "most", "means"), F.lit(BRANCHES)))
+    return dealt.groupBy("g", "__part").applyInPandas(lambda pdf: run(pdf), schema).groupBy("g").applyInPandas(run, schema)
+
+
+SCALES = {"K0": K0, "K1": K1, "K2": K2, "K3": K3}
+
+
+def state(df: DataFrame, col: str, params: TDigestParams, weight: str | None = None, by: str | None = None, type_tag: str = "any") -> State:
+    """build() as a state that knows its parameters, for saving and merging."""
+    return State(build(df, col, SCALES[params.scale](params.delta), weight, by, params.max_backlog), params, type_tag)
+
+
+def merged(a: State, b: State) -> State:
+    """ValueError for states of different scales, deltas or backlogs."""
+    check_same(a, b)
+    return a.with_table(merge(a.table.unionByName(b.table), SCALES[a.params.scale](a.params.delta)))
 
 
 def evaluated(states: DataFrame, scale: Scale, quantiles: list[float] | None = None, values: list[float] | None = None) -> DataFrame:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import uuid
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+PUBLISHED = "number bigint, folder string, sketch string, params string"
+
 
 @dataclasses.dataclass(frozen=True)
 class State:
@@ -41,17 +45,26 @@ def check_same(a: State, b: State) -> None:
 
 
 def save(state: State, path: str) -> None:
-    """The state table and, beside it, its parameters, in the folder path."""
+    """A new version of the state in the folder path.  Its table is written to a folder of its own; then one row with its
+    parameters and that folder's name is added to the published versions.  A job that fails between leaves the version
+    from before as it was."""
+    spark = state.table.sparkSession
     meta = json.dumps({"type_tag": state.type_tag, **dataclasses.asdict(state.params)})
-    state.table.write.mode("overwrite").parquet(f"{path}/table")
-    state.table.sparkSession.createDataFrame([(type(state.params).__name__, meta)], "sketch string, params string").coalesce(1).write.mode("overwrite").parquet(f"{path}/params")
+    try:
+        number = spark.read.schema(PUBLISHED).parquet(f"{path}/published").agg(F.max("number")).first()[0] or 0
+    except AnalysisException:
+        number = 0
+    folder = f"table-{uuid.uuid4().hex}"
+    state.table.write.parquet(f"{path}/{folder}")
+    row = [(number + 1, folder, type(state.params).__name__, meta)]
+    spark.createDataFrame(row, PUBLISHED).coalesce(1).write.mode("append").parquet(f"{path}/published")
 
 
 def load(spark: SparkSession, path: str, params_type: type) -> State:
-    """A saved state; ValueError where it is of another sketch."""
-    row = spark.read.parquet(f"{path}/params").first()
+    """The last saved version of a state; ValueError where it is of another sketch."""
+    row = spark.read.schema(PUBLISHED).parquet(f"{path}/published").orderBy(F.desc("number"), "folder").first()
     if row["sketch"] != params_type.__name__:
         raise ValueError(f"{path} holds a state of {row['sketch']}")
     meta = json.loads(row["params"])
     tag = meta.pop("type_tag")
-    return State(spark.read.parquet(f"{path}/table"), params_type(**meta), tag)
+    return State(spark.read.parquet(f"{path}/{row['folder']}"), params_type(**meta), tag)

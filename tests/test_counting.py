@@ -1,8 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions.hashing import BITS, hashed, positions, sip13, typed
-from quillon.functions.params import CountMinParams, HllParams, LossyParams
+from quillon.functions.params import CountMinParams, HllParams, LossyParams, ReservoirParams
 from quillon.operators import countmin, hll, lossy, reservoir, topk
 from quillon.plans.numbering import numbered
 
@@ -34,6 +35,31 @@ def test_count_min(spark):
     assert countmin.build(rows(spark, []), "v", p).is_empty()
 
 
+def test_running_estimates_in_runs(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(1)
+    values = [None if rnd.random() < 0.1 else 7 if rnd.random() < 0.4 else rnd.randrange(40) for _ in range(500)]
+    df = rows(spark, values).withColumn("n", F.col("seq") % 5)
+    p = CountMinParams(10, 3)
+    whole = [countmin.running(df, "v", "seq", p, n).collect() for n in (None, "n")]
+    monkeypatch.setattr(countmin, "RUN_ROWS", 37)
+    assert [sorted(countmin.running(df, "v", "seq", p, n).collect()) for n in (None, "n")] == [sorted(x) for x in whole]
+    assert len(whole[0]) == sum(v is not None for v in values)
+
+
+def test_lossy_counting_in_runs(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(2)
+    values = [None if rnd.random() < 0.1 else 7 if rnd.random() < 0.4 else rnd.randrange(60) for _ in range(900)]
+    df, p = rows(spark, values), LossyParams.with_width(60)
+    whole = sorted(lossy.state(df, "v", "seq", p).collect()), sorted(lossy.was_new(df, "v", "seq", p).select("seq", "is_new").collect())
+    monkeypatch.setattr(lossy, "RUN_WINDOWS", 4)
+    assert (sorted(lossy.state(df, "v", "seq", p).collect()), sorted(lossy.was_new(df, "v", "seq", p).select("seq", "is_new").collect())) == whole
+    assert len(whole[0]) > 1 and len({r["is_new"] for r in whole[1]}) == 3
+
+
 def test_hash_families(spark):
     df = rows(spark, [1, 2, None])
     for family in BITS:
@@ -48,6 +74,30 @@ def test_hash_families(spark):
         hashed("v", 0, "none")
 
 
+def test_hll_estimates_of_many_groups_are_those_of_one():
+    rnd = np.random.default_rng(3)
+    for b in (4, 9, 14):
+        zeros = rnd.integers(0, 1 << b, 300)
+        sums = zeros + ((1 << b) - zeros) * 2.0 ** -rnd.uniform(1, 8, 300)
+        assert hll.estimates(b, sums, zeros).tolist() == [hll.estimate(b, x, int(y)) for x, y in zip(sums, zeros, strict=True)]
+
+
+def test_reservoir_states(spark):
+    p = ReservoirParams(5, "seq")
+    df = rows(spark, list(range(40)))
+    halves = [reservoir.state(df.where((F.col("seq") % 2 == 0) == F.lit(even)), p) for even in (True, False)]
+    both = reservoir.merged(*halves)
+    expected = [r["seq"] for r in reservoir.sample(df, 5, "seq").collect()]
+    assert sorted(r["seq"] for r in both.table.collect()) == expected and both.table.first()["seen"] == 40
+    assert sorted(r["seq"] for r in reservoir.extended(halves[0], df.where("seq % 2 = 1")).table.collect()) == expected
+    assert both.cleared().is_empty() and reservoir.merged(both.cleared(), halves[0]).table.first()["seen"] == 20
+    for other in (ReservoirParams(6, "seq"), ReservoirParams(5, "seq", 1)):
+        with pytest.raises(ValueError, match="must be equal"):
+            reservoir.merged(halves[0], reservoir.state(df, other))
+    with pytest.raises(ValueError):
+        ReservoirParams(0, "seq")
+
+
 @pytest.mark.parametrize(("n", "b", "published"), [(1000, 4, 571), (1000, 8, 964), (1000, 12, 984), (1000, 16, 998), (10_000, 8, 10196), (10_000, 12, 10050), (10_000, 16, 10055), (100_000, 16, 100656)])
 def test_hll_counts_near_published_ones(spark, n, b, published):
     # The published biases are tables; ours come from a rule, so counts that use them may differ a little.

@@ -137,6 +137,23 @@ def test_exact_set(spark):
     assert exactset.length(both) == 2
 
 
+def test_fingerprints_of_all_bits(spark):
+    df = spark.createDataFrame([(i, i) for i in range(200)] + [(200, None)], "seq bigint, v bigint")
+    for bits in (62, 63, 64):
+        p = CuckooParams(4, 64, bits)
+        state = cuckoo.build(df, "v", p)
+        found = {r["fp"] % 2**64 for r in state.table.collect()}
+        assert len(found) == 200 and 0 not in found and max(found) < 2**bits and max(found) > 2 ** (bits - 3)
+        assert all(r["known"] is (True if r["seq"] < 200 else None) for r in cuckoo.query(state, df, "v").collect())
+    for q, r in ((8, 56), (32, 32), (3, 60)):
+        state = quotient.build(df, "v", QuotientParams(q, r), check=False)
+        assert all(0 <= x["quotient"] < 2**q and 0 <= x["remainder"] < 2**r for x in state.table.collect()) and state.table.count() == 200
+        assert all(x["known"] is (True if x["seq"] < 200 else None) for x in quotient.query(state, df, "v").collect())
+    for bad in (lambda: CuckooParams(4, 64, 61, "md5_60"), lambda: CuckooParams(4, 64, 65), lambda: QuotientParams(1, 64), lambda: QuotientParams(20, 41, "md5_60")):
+        with pytest.raises(ValueError, match="at most"):
+            bad()
+
+
 def test_states_are_saved(spark, tmp_path):
     p = BloomParams(100, 2)
     state = bloom.build(rows(spark, [1, 2, 3]), "v", p, "bigint")

@@ -3,8 +3,10 @@ import math
 import numpy as np
 import pytest
 
+from quillon.functions.params import TDigestParams
 from quillon.operators import tdigest as td
 from quillon.operators.tdigest import K0, K1, K2, K3, Digest
+from quillon.sources import states
 
 
 def digest(values, weights=None, scale=None):
@@ -92,3 +94,20 @@ def test_in_spark(spark):
     by = {r["g"]: r["n"] for r in td.build(df, "x", scale, by="g").collect()}
     assert by == {"a": int((data < 0).sum()), None: int((data >= 0).sum())}
     assert td.build(df.where("x > 100"), "x", scale).count() == 0
+
+
+def test_states(spark, tmp_path):
+    df = spark.createDataFrame([(float(x), 1.0 + x % 3) for x in range(300)], "x double, w double").repartition(7)
+    p = TDigestParams("K1", 50.0, 20)
+    a, b = (td.state(df.where(f"x % 2 = {k}"), "x", p, "w") for k in (0, 1))
+    states.save(a, str(tmp_path))
+    a = states.load(spark, str(tmp_path), TDigestParams)
+    row = td.merged(a, b).table.first()
+    assert row["n"] == 300 and (row["least"], row["most"]) == (0.0, 299.0) and abs(sum(row["weights"]) - 600) < 1e-9 and len(row["means"]) <= 50
+    assert td.merged(a, a.cleared()).table.first()["n"] == 150 and a.cleared().is_empty()
+    for other in (TDigestParams("K2", 50.0, 20), TDigestParams("K1", 60.0, 20), TDigestParams("K1", 50.0, 21)):
+        with pytest.raises(ValueError, match="must be equal"):
+            td.merged(a, td.state(df, "x", other))
+    for bad in (("K4", 10.0, 1), ("K0", 1.0, 1), ("K0", 10.0, 0)):
+        with pytest.raises(ValueError):
+            TDigestParams(*bad)
