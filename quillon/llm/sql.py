@@ -32,17 +32,19 @@ def _quoted(text: str) -> str:
 
 
 def _canonical(text: str) -> str:
-    copyright_ = licenses.COPYRIGHT.replace("'", "''")
+    copyright_ = licenses.COPYRIGHT
     low = f"translate(coalesce({text}, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
-    bare = f"regexp_replace(regexp_replace({low}, '{copyright_}', chr(10), 'g'), '{licenses.RESERVED}', ' ', 'g')"
+    guarded = f"regexp_replace({low}, '{licenses.GUARD}', 'copyright' || chr({ord(licenses.MARK)}) || '\\1', 'g')"
+    bare = f"regexp_replace(regexp_replace({guarded}, '{copyright_}', chr(10), 'g'), '{licenses.RESERVED}', ' ', 'g')"
     table = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in licenses.SPELLINGS.items()) + "}"
     words = f"list_filter(regexp_split_to_array({bare}, '{licenses.NOT_WORD}'), lambda w: w <> '')"
     return f"array_to_string(list_transform({words}, lambda w: coalesce({table}[w], w)), ' ')"
 
 
 LICENSES = f"""
-WITH known AS (SELECT sha256(c) AS canonical_sha256, min(license_id) AS license_id FROM (SELECT license_id, {_canonical('text')} AS c
-FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in licenses.KNOWN)}) t(license_id, text)) WHERE c <> '' GROUP BY 1)
+WITH known AS (SELECT canonical_sha256, min(license_id) AS license_id FROM (SELECT sha256(c) AS canonical_sha256, license_id FROM (SELECT license_id, {_canonical('text')} AS c
+FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in licenses.KNOWN)}) t(license_id, text))
+UNION ALL VALUES {', '.join(f"('{d}', '{i}')" for d, i in licenses.DIGESTS.items())}) GROUP BY 1)
 SELECT doc_id, canonical_sha256, license_id FROM (SELECT doc_id, sha256({_canonical('text')}) AS canonical_sha256 FROM documents) LEFT JOIN known USING (canonical_sha256)
 """
 
