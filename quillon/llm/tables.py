@@ -7,15 +7,34 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+#: Rows that join_few() broadcasts, at most.
+BROADCAST_ROWS = 200_000
+#: Folders named by work_dir(), for clear().
+_made: list[str] = []
+
 
 def work_dir(spark: SparkSession) -> str:
     """A new folder name below the shared folder that the cluster names in spark.checkpoint.dir.  Only where that is
-    unset, as in tests, a folder of this machine is set."""
+    unset and one process does all, as in tests, a folder of this machine is set; RuntimeError where it is unset on a
+    cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quillon-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/quillon-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the intermediate tables that this process has made so far.  Call it when the results are written: results
+    are DataFrames that read those tables."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
@@ -26,6 +45,16 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_few(left: DataFrame, few: DataFrame, key: str, spread: Column, salts: int = 16) -> DataFrame:
+    """left, left-joined on key with a written table that is expected to be small: by broadcast, if it is counted to have
+    up to BROADCAST_ROWS rows of a few numbers and short texts each; beyond, shuffled by key and by salts of `spread`, so
+    that a key of very many rows is several tasks."""
+    if few.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(few), key, "left")
+    few = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("__salt", F.pmod(spread, F.lit(salts)).cast("int")).join(few, [key, "__salt"], "left").drop("__salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
