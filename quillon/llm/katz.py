@@ -38,7 +38,6 @@ from .tables import partitions, work_dir, written
 from .words import U64, blocks, mix, mix_int, release, word_hashes
 
 MOST = 5
-NO_ID = np.iinfo(np.int64).min
 BLOCK = 6 << 20
 #: Documents of a block that hold the same bigram and are named to its bucket, at most.
 NAMED = 48
@@ -140,9 +139,10 @@ def _blocks_table(docs: DataFrame, doc_id: str, text: str, held_out: Column) ->
             flat = np.full(first[-1], END, U64)
             flat[np.arange(len(hashed)) + np.repeat(np.arange(len(count)), count)] = hashed
             vocabulary, number = np.unique(flat, return_inverse=True)
-            ids = batch.column(0).fill_null(int(NO_ID)).to_numpy().view(U64)
+            ids = batch.column(0).fill_null(0).to_numpy().view(U64)
+            none = batch.column(0).is_null().to_numpy(zero_copy_only=False).astype(np.int64)
             held = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            row = [base + k, pack(ids, held, first), pack(vocabulary), pack(number)]
+            row = [base + k, pack(ids, held, first, none), pack(vocabulary), pack(number)]
             k += 1
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["block", "texts", "vocabulary", "tokens"])
 
@@ -188,7 +188,7 @@ def _send_words(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, texts, vocabulary, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                (_, held, first), (keys,), (number,) = unpack(texts), unpack(vocabulary), unpack(tokens)
+                (_, held, first, _), (keys,), (number,) = unpack(texts), unpack(vocabulary), unpack(tokens)
                 train = np.repeat(held == 0, np.diff(first))
                 counts = np.bincount(number[train], minlength=len(keys))
                 at = _ranges(keys, n)
@@ -225,7 +225,7 @@ def _send_bigrams(words: Unigrams, unknown: float, word_buckets: int, n: int):
     hot = words.tokens / (4 * n)
 
     def one(block: int, texts: bytes, vocabulary: bytes, tokens: bytes, counted: list) -> Iterator[pa.RecordBatch]:
-        (ids, held, first), (keys,), (number,) = unpack(texts), unpack(vocabulary), unpack(tokens)
+        (ids, held, first, none), (keys,), (number,) = unpack(texts), unpack(vocabulary), unpack(tokens)
         counted = sorted(counted, key=lambda x: x["bucket"])
         back = [unpack(x["data"]) for x in counted]
         count = np.concatenate([c for c, _ in back])
@@ -268,7 +268,7 @@ def _send_bigrams(words: Unigrams, unknown: float, word_buckets: int, n: int):
         first_of[gram[many]] = True
         doc = np.where(first_of, np.repeat(stands, holders), doc)[keep | first_of]
         times = np.where(first_of, 1, times)[keep | first_of]
-        yield _row(TEXTS, block, int(block % n), pack(ids, held, size, known, base, direct, *lists, np.array([words.tokens])))
+        yield _row(TEXTS, block, int(block % n), pack(ids, held, size, known, base, direct, *lists, np.array([words.tokens]), none))
         hashes = np.append(keys, START)
         ch = context_count[h]
         bucket = (mix(hashes[h] ^ np.where(ch > hot, mix(hashes[w]), U64(0))) % U64(n)).astype(np.int64)
@@ -382,9 +382,20 @@ def _backoff(d: Discounts, ch: np.ndarray, hist: list[np.ndarray], total: np.nda
     return np.log10(left) - np.log10(np.maximum(1 - total, 1e-15)), bare
 
 
+HOT_SUMS = [*(f"n{k}" for k in range(1, MOST + 1)), "total"]
+_HOT = "h long, ch long, " + ", ".join(f"{c} {'double' if c == 'total' else 'long'}" for c in HOT_SUMS)
+
+
+def _hot_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column(0).to_pylist():
+            *whole, total = unpack(data)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in whole), pa.array(total)], ["h", "ch", *HOT_SUMS])
+
+
 def _finish(d: Discounts, hot: dict[int, tuple[float, bool]]):
     def work(block: int, kinds: list[int], payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
-        ids, held, size, known, base, direct, doc, times, holders, tokens = unpack(payloads[kinds.index(TEXTS)])
+        ids, held, size, known, base, direct, doc, times, holders, tokens, none = unpack(payloads[kinds.index(TEXTS)])
         score = np.zeros(len(size) + len(holders))
         score[: len(size)] = direct
         for kind, data in zip(kinds, payloads, strict=True):
@@ -398,20 +409,35 @@ def _finish(d: Discounts, hot: dict[int, tuple[float, bool]]):
             back, _ = _backoff(d, ch, hist, total)
             fix = np.zeros(len(ch))
             for k in np.flatnonzero(is_hot):
-                back[k], none = hot[int(h[k])]
-                fix[k] = np.log10(ch[k] / (ch[k] + 1.0)) if none else 0.0
+                back[k], undiscounted = hot[int(h[k])]
+                fix[k] = np.log10(ch[k] / (ch[k] + 1.0)) if undiscounted else 0.0
             extra = many * np.where(seen > 0, fix[which], back[which])
             score[docs] += value + np.bincount(number, extra, len(docs))
         if len(holders):
             score[: len(size)] += np.bincount(doc, times * np.repeat(score[len(size) :], holders), len(size))
         i = ids.view(np.int64) if ids.dtype == U64 else ids
-        nothing = pa.array(i == NO_ID)
         n = len(size)
-        yield pa.RecordBatch.from_arrays([pa.array(i, mask=np.asarray(nothing)), pa.array(held > 0), pa.array(size), pa.array(known), pa.array(np.full(n, tokens[0])), pa.array(base), pa.array(score[:n])], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(i, mask=none > 0), pa.array(held > 0), pa.array(size), pa.array(known), pa.array(np.full(n, tokens[0])), pa.array(base), pa.array(score[:n])], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return _by_bucket(work)
 
 
+def _counted(corpus: DataFrame, n: int) -> DataFrame:
+    """What the buckets of words and bigrams say of each block of the corpus, written."""
+    sent = corpus.mapInArrow(_send_words(n), "bucket long, block long, data binary")
+    counted = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket(_count_words), ROWS)
+    counted = written(counted, "uncompressed")
+    stats = _stats(counted)
+    hist = [0, *stats[: MOST + 1].tolist()]
+    words = Unigrams.of(int(stats[MOST + 1]), int(stats[MOST + 2]), int(stats[MOST + 3]), hist)
+    unknown = words.unknown(hist)
+    back = counted.where(F.col("kind") == RETURN).groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("counted"))
+    m = n * BUCKETS_A_TASK
+    grams = corpus.join(back, "block").mapInArrow(_send_bigrams(words, unknown, n, m), ROWS)
+    grams = grams.select("bucket", "block", "data", "kind").repartition(n, "bucket").sortWithinPartitions("bucket", "block")
+    return written(grams.mapInArrow(_score_bigrams(words, unknown, m), ROWS), "uncompressed")
+
+
 def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row: doc_id, held_out, n_tokens, n_known (of a word that occurs in training), train_tokens,
     base_score (add-one unigram log10 probability) and score (the Katz model's log10 probability).
@@ -425,32 +451,18 @@ def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     corpus = _blocks_table(docs, doc_id, text, held_out)
     name = f"quillon_blocks_{work_dir(spark).rsplit('-', 1)[1]}"
     corpus.write.bucketBy(n, "block").option("path", work_dir(spark)).option("compression", "uncompressed").saveAsTable(name)
-    corpus = spark.table(name).select("block", "texts", "vocabulary", "tokens")
-    sent = corpus.mapInArrow(_send_words(n), "bucket long, block long, data binary")
-    counted = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket(_count_words), ROWS)
-    counted = written(counted, "uncompressed")
-    stats = _stats(counted)
-    hist = [0, *stats[: MOST + 1].tolist()]
-    words = Unigrams.of(int(stats[MOST + 1]), int(stats[MOST + 2]), int(stats[MOST + 3]), hist)
-    unknown = words.unknown(hist)
-    back = counted.where(F.col("kind") == RETURN).groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("counted"))
-    m = n * BUCKETS_A_TASK
-    grams = corpus.join(back, "block").mapInArrow(_send_bigrams(words, unknown, n, m), ROWS)
-    grams = grams.select("bucket", "block", "data", "kind").repartition(n, "bucket").sortWithinPartitions("bucket", "block")
-    done = written(grams.mapInArrow(_score_bigrams(words, unknown, m), ROWS), "uncompressed")
-    spark.sql(f"DROP TABLE {name}")
+    try:
+        done = _counted(spark.table(name).select("block", "texts", "vocabulary", "tokens"), n)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
     d = Discounts.of([0, *_stats(done)[: MOST + 1].tolist()])
-    # Hot contexts have more than 1 / (4 m) of all tokens each, so there are fewer than 4 m + 1, with a part in each bucket.
-    parts: dict[int, list[np.ndarray]] = {}
-    for row in done.where(F.col("kind") == HOT).select("data").toLocalIterator():
-        h, *numbers = unpack(row.data)
-        for k, key in enumerate(h.tolist()):
-            parts.setdefault(int(key), []).append(np.array([x[k] for x in numbers], np.float64))
+    # Hot contexts have more than 1 / (4 m) of all tokens each, so there are fewer than 4 m + 1; their parts in the buckets
+    # are added up by executors.
+    rows = done.where(F.col("kind") == HOT).select("data").mapInArrow(_hot_parts, _HOT).groupBy("h", "ch").agg(*(F.sum(c).alias(c) for c in HOT_SUMS)).collect()
     hot = {}
-    for key, rows in parts.items():
-        ch, total = rows[0][0], sum(r[-1] for r in rows)
-        log, bare = _backoff(d, np.array([ch]), [np.array([sum(r[1 + k] for r in rows)]) for k in range(MOST)], np.array([total]))
-        hot[key] = (float(log[0]), bool(bare[0]))
+    for r in rows:
+        log, bare = _backoff(d, np.array([r["ch"]]), [np.array([r[f"n{k}"]]) for k in range(1, MOST + 1)], np.array([r["total"]]))
+        hot[r["h"]] = (float(log[0]), bool(bare[0]))
     last = done.where(F.col("kind").isin(SUMS, TEXTS)).select("block", F.col("kind").cast("long").alias("kind"), "data")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = last.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_finish(d, hot), schema)
