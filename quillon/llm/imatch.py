@@ -144,8 +144,8 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: n
 
     The edited text has the last floor(n_chars / 3) code points replaced by the first as many (or all) of the next
     document's, by descending doc_id; after the last comes the first.  Rows of equal id follow each other by a hash of their text, and a
-    single document is its own next.  A null text counts as empty; rows without id come last, as if their id were the
-    least.  Ids are integers of up to 53 bits.
+    single document is its own next.  A null text counts as empty; rows without id come last, by descending hash of their
+    text, so that they are dealt to ranges as ids are.  Ids are integers of up to 53 bits.
 
     Texts are dealt to ranges of ids once, compressed; a range also gets the first document of the range below.
     """
@@ -153,7 +153,8 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: n
     shared = spark.sparkContext.broadcast(lexicon(docs, text) if known is None else known)
     least = -(1 << 62)
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(least)).alias("id"), F.xxhash64(whole).alias("key"), whole.alias("__text"))
+    nameless = F.lit(least) + F.shiftrightunsigned(F.xxhash64(whole), 4)
+    own = docs.select(F.coalesce(F.col(doc_id).cast("long"), nameless).alias("id"), F.xxhash64(whole).alias("key"), whole.alias("__text"))
     n = partitions(spark)
     bounds, heads = _placed(own.select("id"), n * RANGES_A_TASK)
     tasks = np.array(even_keys(spark, n))
@@ -178,7 +179,7 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: n
             k = len(t) // 3
             new.append(t[: len(t) - k] + after[:k])
         prints = [fingerprints(column(pa.array(x, pa.large_string())), shared.value) for x in ([t for _, t in rows], new, following)]
-        ids = pa.array([None if i == least else i for i, _ in rows], pa.int64())
+        ids = pa.array([None if i < least // 2 else i for i, _ in rows], pa.int64())
         made = [pa.array([len(t) for _, t in rows], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in new])]
         made += [pa.array(shown(p)) for p in prints[:2]] + [pa.array(likeness(prints[0], p)) for p in prints[1:]]
         return pa.RecordBatch.from_arrays([ids, *made], names)

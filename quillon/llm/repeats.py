@@ -225,7 +225,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NO_ID))).alias("id"), F.xxhash64(whole).alias("key"), whole.alias("__text"))
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NO_ID))).alias("id"), F.xxhash64(whole).alias("key"), whole.alias("__text"), F.col(doc_id).isNull().alias("__none"))
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, with_text: bool = False) -> DataFrame:
@@ -238,7 +238,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     not precede each other, so repeated rows keep or lose the same words.  Ids are integers.
     """
     marks = written(repeats(docs, doc_id, text, window).groupBy("id", "key").agg(F.collect_list("marks").alias("marks")))
-    joined = _keyed(docs, doc_id, text).join(marks, ["id", "key"], "left").select("id", "__text", "marks")
+    joined = _keyed(docs, doc_id, text).join(marks, ["id", "key"], "left").select("id", "__text", "marks", "__none")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches, "__text"):
@@ -253,8 +253,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             keep = np.flatnonzero(np.diff(gone) == 0)
             data, at = _pick(texts, found.start[keep], found.end[keep], np.searchsorted(keep, found.first))
             raw = [data[a : max(b - 1, a)].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-            ids = batch.column(0)
-            ids = pa.compute.if_else(pa.compute.equal(ids, int(NO_ID)), pa.scalar(None, pa.int64()), ids)
+            ids = pa.compute.if_else(batch.column(3), pa.scalar(None, pa.int64()), batch.column(0))
             columns = [ids, pa.array(np.diff(found.first)), pa.array(np.diff(gone[found.first])), pa.array([hashlib.sha256(r).hexdigest() for r in raw])]
             if with_text:
                 columns.append(pa.array([r.decode() for r in raw]))

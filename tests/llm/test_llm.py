@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -16,7 +17,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, components, decontaminate, imatch, jaccard, katz, licenses, quality, repeats, secret_scan, warc
+from quillon.llm import bpe, components, decontaminate, imatch, jaccard, katz, licenses, quality, repeats, secret_scan, tables, warc
 from quillon.llm.tables import id_remainder
 from quillon.llm.words import Texts, column, shingles, split, word_hashes
 
@@ -76,6 +77,14 @@ def test_words_and_shingles():
     assert split(column(pa.array([None, ""], pa.string()))).first.tolist() == [0, 0, 0]
 
 
+def test_intermediate_tables_can_be_cleared(spark):
+    made = tables.written(spark.range(3).select(F.col("id").alias("x")))
+    folder = made.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+    assert os.path.exists(folder) and made.count() == 3
+    tables.clear(spark)
+    assert not os.path.exists(folder)
+
+
 # 1: decontamination
 
 
@@ -211,6 +220,27 @@ def test_decontamination_of_nothing(spark, docs):
 # 2: language model
 
 
+def good_turing(n):
+    """The discounts d_1 .. d_5 by Katz's formula, from n[r], how many n-grams occur r times."""
+    k = 5
+    if all(n[1 : k + 1]):
+        common = (k + 1) * n[k + 1] / n[1]
+        d = {r: ((r + 1) * n[r + 1] / n[r] / r - common) / (1 - common) for r in range(1, k + 1)} if common < 1 else {1: 0}
+        if all(0 < x < 1 for x in d.values()):
+            return d
+    less = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+    return {r: (r - less) / r for r in range(1, k + 1)}
+
+
+@pytest.mark.parametrize("n", [[0, 1000, 400, 210, 130, 90, 60], [0, 50, 20, 12, 8, 6, 4], [0, 10, 9, 8, 7, 6, 5], [0, 5, 0, 3, 0, 0, 9], [0, 0, 0, 0, 0, 0, 0], [0, 7, 3, 2, 1, 0, 1]])
+def test_katz_discounts_are_good_turing(n):
+    d = katz.Discounts.of(n)
+    assert all(math.isclose(d.d[r], x, rel_tol=1e-12) for r, x in good_turing(n).items())
+    # Textbook: what is left over by the discounts is n_1 of all, where they are Good-Turing's.
+    if n[1] == 1000:
+        assert math.isclose(sum((1 - d.d[r]) * r * n[r] for r in range(1, 6)), n[1])
+
+
 def katz_scores(texts, held):
     tokens = {d: [*WORD.findall(t.translate(ASCII_LOWER)), None] for d, t in texts}
     uni, bi, context, after = Counter(), Counter(), Counter(), defaultdict(set)
@@ -224,10 +254,10 @@ def katz_scores(texts, held):
             after[h].add(x)
     total, distinct = sum(uni.values()), len(uni)
     hist = [0] + [sum(c == r for c in uni.values()) for r in range(1, 7)]
-    words = katz.Unigrams.of(total, distinct, 0, hist)
-    unknown = words.unknown(hist)
-    d2 = katz.Discounts.of([0] + [sum(c == r for c in bi.values()) for r in range(1, 7)]).d
-    p1 = lambda x: float(words.probability(np.array([uni[x]]), unknown)[0])
+    d1, d2 = good_turing(hist), good_turing([0] + [sum(c == r for c in bi.values()) for r in range(1, 7)])
+    left = sum((1 - d1[r]) * r * hist[r] for r in range(1, 6))
+    unknown = left / total if left else 1 / (total + 1)
+    p1 = lambda x: d1.get(uni[x], 1.0) * uni[x] / (total if left else total + 1) if uni[x] else unknown
     assert abs(sum(map(p1, uni)) + unknown - 1) < 1e-9
     cache = {}
 
@@ -285,10 +315,31 @@ def test_licenses(spark):
     assert got[4]["canonical_sha256"] == hashlib.sha256(b"").hexdigest()
     assert got[6]["canonical_sha256"] == hashlib.sha256(b"sub license").hexdigest()
     assert licenses.scan(df.where("doc_id < 0"), licenses.known_digests(spark)).count() == 0
-    own = licenses.known_digests(spark, [("B", "x y"), ("A", "X, Y"), ("C", "")])
+    own = licenses.known_digests(spark, [("B", "x y"), ("A", "X, Y"), ("C", ""), (None, "z"), ("D", None)])
     assert [r["license_id"] for r in own.collect()] == ["A"]
 
 
+@pytest.mark.parametrize("line", ["Copyright (c) Microsoft Corporation.", "Copyright The Foo Authors", "copyright (c) The Regents of it", "Copyright: (c) 2020 X", "Portions copyright 2010 X", "(C) 1999 Y", "# Copyright 2020-2024, Z", "© X", "Copyright (c) <year> <copyright holders>"])
+def test_licenses_under_copyright_lines(spark, line):
+    texts = [f"{line}\n\n{licenses.PERMISSION}", f"MIT License\n\n{line}\n{line}\n{licenses.PERMISSION}", f"{line}\nThe above\ncopyright notice and\ncopyright holder, and", "(c) You must retain\ncopyright law: that"]
+    df = spark.createDataFrame([(1, texts[0], "x"), (1, texts[0], "y"), (None, texts[1], "z"), (3, texts[2], ""), (4, texts[3], None)], "doc_id bigint, text string, license_id string")
+    got = sorted(licenses.scan(df, licenses.known_digests(spark)).collect(), key=repr)
+    assert [r["license_id"] for r in got if r["doc_id"] in (1, None)] == ["MIT"] * 3
+    digest = {r["doc_id"]: r["canonical_sha256"] for r in got}
+    assert digest[3] == hashlib.sha256(b"the above copyright notice and copyright holder and").hexdigest()
+    assert digest[4] == hashlib.sha256(b"c you must retain copyright law that").hexdigest()
+
+
+def test_licenses_of_whole_texts(spark):
+    """Texts that systems ship, and each short text under each of its titles."""
+    folder = "/usr/share/common-licenses"
+    files = [f for f in ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0", "CC0-1.0") if os.path.exists(f"{folder}/{f}")]
+    rows = [(f, open(f"{folder}/{f}", encoding="utf-8").read()) for f in files] + [(i, "Copyright 2021 me\n" + t) for i, t in licenses.KNOWN]
+    df = spark.createDataFrame([(i, f, t) for i, (f, t) in enumerate(rows)], "doc_id bigint, name string, text string")
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(df, licenses.known_digests(spark)).collect()}
+    assert all(got[i] is not None and got[i].removesuffix(".0") == name.removesuffix(".0") for i, (name, _) in enumerate(rows))
+
+
 # 4: Jaccard
 
 
@@ -586,10 +637,31 @@ def test_warc_rewriting_and_damage(spark, tmp_path):
     file = next((tmp_path / "one").glob("part-*"))
     data = gzip.decompress(file.read_bytes())
     assert data.startswith(b"WARC/1.1\r\n") and data.endswith(b"\r\n\r\n")
-    with pytest.raises(ValueError):
-        list(warc.parse(data[:-10]))
-    with pytest.raises(ValueError):
-        list(warc.parse(b"junk\r\n\r\n" + data))
+    ids = [head["warc-record-id"] for p in ("one", "two") for f in (tmp_path / p).glob("part-*") for head, _ in warc.parse(warc.unpacked(f.read_bytes()))]
+    assert len(ids) == 24 and len(set(ids)) == 21  # the three responses are the same records in both
+    packed = file.read_bytes()
+    for bad in (data[:-10], data[:50], b"junk\r\n\r\n" + data, packed[:-20]):
+        with pytest.raises(ValueError):
+            list(warc.parse(warc.unpacked(bad)))
+    records = list(warc.parse(iter([data])))
+    assert list(warc.parse(warc.unpacked(packed + packed))) == records * 2
+    assert list(warc.parse(data[k : k + 7] for k in range(0, len(data), 7))) == records
+    # An archive without the originals of its revisits.
+    three = str(tmp_path / "three")
+    found = warc.resolved(df)
+    warc.write(found.where("type = 'revisit' OR id = 0"), three)
+    warc.rewrite(spark, three, str(tmp_path / "four"))
+    back = {r["id"]: (r["type"], r["first_id"], r["n"]) for r in warc.read(spark, str(tmp_path / "four")).collect()}
+    assert back == {r["id"]: (r["type"], r["first_id"] if r["id"] else None, r["n"]) for r in found.collect() if r["id"] not in (1, 2)}
+
+
+def test_warc_long_payloads_and_other_columns(spark, monkeypatch):
+    rows = [(1, "u", "é" * 3_000_000, "a", "b"), (2, "u", "é" * 3_000_000, "c", "d"), (3, None, "x", None, None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, digest string, type string")
+    expected = [(1, 6_000_000, "response", None), (2, 6_000_000, "revisit", 1), (3, 1, "response", None)]
+    for most in (200_000, 0):
+        monkeypatch.setattr(tables, "BROADCAST_ROWS", most)
+        assert sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archived(df).collect()) == expected
 
 
 # 7: repeats
@@ -652,6 +724,56 @@ def test_fingerprints(spark, docs):
     assert all(again[d]["fingerprint"] == got[d]["fingerprint"] for d in texts)
 
 
+def plain_mix(h):
+    for _ in range(2):
+        h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) % 2**64
+    return h ^ (h >> 32)
+
+
+def plain_hash(word):
+    data, out = word.encode(), len(word.encode()) * 0x9E3779B97F4A7C15 % 2**64
+    for k in range(0, max(len(data), 1), 8):
+        piece = data[k : k + 8]
+        out = plain_mix(out ^ (int.from_bytes(piece, "little") << (64 - 8 * len(piece))) % 2**64)
+    return out
+
+
+def plain_fingerprint(text, band):
+    """The parts of a text, None where no term of the part's lexicon stands in it."""
+    terms = {plain_hash(w) for w in WORD.findall(text.translate(ASCII_LOWER))}
+    inside, parts = terms & band, []
+    for j in range(imatch.PARTS):
+        if not inside:
+            parts.append(plain_mix(sum(map(plain_mix, terms)) % 2**64 ^ (j + 1)) % 2**32)
+            continue
+        seen = [h for h in (plain_mix(t ^ plain_mix(j + 1)) for t in inside) if j == 0 or h < 1 << (62 - j % 8)]
+        parts.append(plain_mix(sum(plain_mix((h + j) % 2**64) for h in seen) % 2**64) % 2**32 if seen else None)
+    return parts
+
+
+def test_fingerprints_are_brute_force(spark, docs):
+    df = docs.select("doc_id", "text").dropDuplicates(["doc_id"]).union(spark.createDataFrame([(900, "A b " * 30_000 + "c d"), (901, "B a d C")], "doc_id bigint, text string"))
+    texts = texts_of(df)
+    often = Counter(plain_hash(w) for t in texts.values() for w in set(WORD.findall(t.translate(ASCII_LOWER))))
+    n = len(texts)
+    band = {h for h, c in often.items() if max(2, imatch.LOW * n) <= c <= max(2, imatch.HIGH * n)}
+    assert band and set(imatch.lexicon(df).tolist()) == band
+    order = sorted(texts, reverse=True)
+    rows = by_id(imatch.edited(df))
+    text_of = lambda parts: "".join(imatch.EMPTY if x is None else f"{x:08x}" for x in parts)
+
+    def like(a, b):
+        used = sum(x is not None or y is not None for x, y in zip(a, b, strict=True))
+        return sum(x == y and x is not None for x, y in zip(a, b, strict=True)) / max(used, 1)
+
+    for d, after in zip(order, [*order[1:], order[0]], strict=True):
+        t, k = texts[d], len(texts[d]) // 3
+        own, new, following = (plain_fingerprint(x, band) for x in (t, t[: len(t) - k] + texts[after][:k], texts[after]))
+        r = rows[d]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (text_of(own), text_of(new))
+        assert math.isclose(r["near_edited"], like(own, new)) and math.isclose(r["near_next"], like(own, following))
+
+
 def test_fingerprint_order_and_case_do_not_matter():
     known = np.sort(word_hashes(column(pa.array(["a b c d e f g h"])))[1])
     rows = imatch.fingerprints(column(pa.array(["a b c x", "C b, b A c", "c b a b y", "a b d"])), known)
@@ -714,6 +836,45 @@ def test_quality_odd_rows(spark, docs):
     assert quality.sample(docs, labels, "quality", F.lit(True)).select("doc_id", "quality").collect() == [(1, 0)]
 
 
+def test_quality_model_is_ftrl_one_feature_at_a_time():
+    """The same updates by plain loops over dictionaries."""
+    rnd = random.Random(9)
+    examples = []
+    for k in range(40):
+        index = sorted(rnd.sample(range(64), 6))
+        examples.append((np.array(index, "<i4"), np.array([rnd.random() for _ in index], "<f4"), int(k % 3 == 0)))
+    alpha, beta, l1, l2 = 0.7, 1.5, 0.01, 0.1
+    model = quality.fit(examples, 6, 100, alpha, beta, l1, l2)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i, l1=l1):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(8):
+        for k in order.permutation(len(examples)):
+            index, x, y = examples[k]
+            values = [*zip(index.tolist(), x.tolist(), strict=True), ("bias", 1.0)]
+            w = {i: weight(i, 0.0 if i == "bias" else l1) for i, _ in values}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in values)))
+            for i, v in values:
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    assert all(math.isclose(model.weights[i], weight(i), rel_tol=1e-4, abs_tol=1e-6) for i in range(64))
+    assert math.isclose(model.bias, weight("bias", 0.0), rel_tol=1e-4) and any(model.weights == 0) and any(model.weights != 0)
+
+
+def test_quality_of_long_texts_and_real_tables(spark):
+    """Accuracy on labelled rows that were held out, of the sample tables."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(quality.sample(docs, labels, "quality", id_remainder("doc_id", 5) != 0), "quality")
+    rows = quality.scored(docs, model).join(labels.select("doc_id", "quality"), "doc_id").where(id_remainder("doc_id", 5) == 0).select("quality", "predicted").collect()
+    assert len(rows) > 50 and sum(r["quality"] == r["predicted"] for r in rows) >= 0.93 * len(rows)
+    long = spark.createDataFrame([(1, "words of prose " * 200_000), (2, "words of prose " * 200_000)], "doc_id bigint, text string")
+    assert len({r["score"] for r in quality.scored(long, model).collect()}) == 1
+
+
 def test_quality_features_are_counts():
     index, first, value = quality.features(column(pa.array(["a a b", "", "A a B"])))
     assert np.diff(first).tolist()[1] == 0 and abs((value[: first[1]] ** 2).sum() - 1) < 1e-9
