@@ -5,8 +5,9 @@ other ASCII character, runs counted as one; bytes of other characters count as s
 n-grams of either name, n = 1 and 2; a text's values are the square roots of their counts, scaled to length 1.  Only the
 text is an input: no id, language, source or label.
 
-The model is fitted on a bounded sample of the labelled training rows (`rows`, the bound, those of least hash of their
-id); their features are made on the executors, so what reaches the driver is at most rows * 2**bits feature values.
+The model is fitted on a bounded sample of the labelled training rows: those of least hash of their id, up to `rows`
+rows and, where texts are very long, up to `most` feature values in all (at least one row).  Features are made on the
+executors and written; what reaches the driver is no more than that.
 Scores are sparse dot products in numpy, a map over the partitions with the weights broadcast (2**bits floats).
 """
 
@@ -19,11 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .tables import written
 from .words import GOLD, LOWER, U64, Texts, blocks, hashes, mix, split, sums
 
 BITS = 18
 #: Labelled rows that the model is fitted on, at most.
 ROWS = 6000
+#: Feature values that the model is fitted on, at most, of 8 bytes each.
+MOST = 40_000_000
 #: The class of each byte in a word's shape: small letter, capital, digit, or the byte itself.
 SHAPE = np.arange(256, dtype=np.uint8)
 SHAPE[97:123] = SHAPE[128:] = 97
@@ -107,9 +111,9 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, up
     return Model(weights(slice(None)).astype(np.float32), float(bias), bits)
 
 
-def train(labelled: DataFrame, label: str, rows: int = ROWS, bits: int = BITS, key: str = "doc_id", text: str = "text") -> Model:
-    """A model of labelled rows: at most `rows` of them, those whose key has the least hash.  Rows whose label is null
-    are left out; a null text is an empty one.  Only feature vectors travel, to be ordered and then to the driver."""
+def train(labelled: DataFrame, label: str, rows: int = ROWS, bits: int = BITS, key: str = "doc_id", text: str = "text", most: int = MOST) -> Model:
+    """A model of labelled rows: those whose key has the least hash, at most `rows` of them with at most `most` feature
+    values together.  Rows whose label is null are left out; a null text is an empty one.  Only feature vectors travel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches, "__text"):
@@ -119,7 +123,16 @@ def train(labelled: DataFrame, label: str, rows: int = ROWS, bits: int = BITS, k
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["h", "y", "i", "x"])
 
     read = labelled.where(F.col(label).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(label).cast("int").alias("y"), F.col(text).cast("string").alias("__text"))
-    made = read.mapInArrow(run, "h long, y int, i binary, x binary").orderBy("h", "y", "i", "x").limit(rows).collect()
+    vectors = written(read.mapInArrow(run, "h long, y int, i binary, x binary"))
+    order = ["h", "y", "i", "x"]
+    sizes = vectors.select("h", (F.octet_length("i") / 4).cast("long").alias("n")).orderBy("h", "n").limit(rows).collect()
+    total, last = 0, None
+    for r in sizes:
+        total += r.n
+        if last is not None and total > most and r.h != last:
+            break
+        last = r.h
+    made = vectors.where(F.col("h") <= F.lit(last)).orderBy(*order).limit(rows).collect() if sizes else []
     return fit([(np.frombuffer(r.i, "<i4"), np.frombuffer(r.x, "<f4"), int(r.y == 1)) for r in made], bits)
 
 

@@ -871,6 +871,8 @@ def test_quality_of_long_texts_and_real_tables(spark):
     model = quality.train(quality.sample(docs, labels, "quality", id_remainder("doc_id", 5) != 0), "quality")
     rows = quality.scored(docs, model).join(labels.select("doc_id", "quality"), "doc_id").where(id_remainder("doc_id", 5) == 0).select("quality", "predicted").collect()
     assert len(rows) > 50 and sum(r["quality"] == r["predicted"] for r in rows) >= 0.93 * len(rows)
+    few = [quality.train(quality.sample(docs, labels, "quality", F.lit(True), rows=n), "quality", most=most).bias for n, most in ((399, 1), (1, 10**9), (399, 10**9))]
+    assert few[0] == few[1] != few[2]
     long = spark.createDataFrame([(1, "words of prose " * 200_000), (2, "words of prose " * 200_000)], "doc_id bigint, text string")
     assert len({r["score"] for r in quality.scored(long, model).collect()}) == 1
 
