@@ -42,6 +42,8 @@ WIDTH = SIDE + BODY + SIDE
 STEP = 12
 #: Findings of the corpus with each label that the network learns from, and bytes of a long one that stand for it there.
 SAMPLE, LEARNT = 1500, 256
+#: Times that the network is shown its findings.
+PASSES = 8
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -188,6 +190,7 @@ def labelled_findings(n: int = 2400, seed: int = 5, without: tuple[int, ...] = (
         lambda: syllables(16, 40),
         lambda: syllables(16, 40),
         lambda: syllables(16, 30).capitalize(),
+        lambda: syllables(16, 30).upper(),
         lambda: "".join(syllables(3, 9).capitalize() for _ in range(rnd.randint(3, 5))),
         lambda: rnd.choice("_-/").join(syllables(2, 9) for _ in range(rnd.randint(3, 7))),
         lambda: rnd.choice("_-").join(syllables(3, 9).upper() for _ in range(rnd.randint(3, 5))),
@@ -271,7 +274,7 @@ class Network:
         return {"e": de, "c": u.T @ flat, "b": flat.sum(axis=0), "o": p.T @ d, "z": d.sum(keepdims=True)}
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Fit scale and shift by Newton steps; then, of the thresholds that keep the recall, take the lowest of those with
+        """Fit scale and shift by Newton steps; then, of the thresholds that keep the recall, take the highest of those with
         the fewest false alarms."""
         z, a, b = self.logits(x).astype(np.float64), 1.0, 0.0
         for _ in range(25):
@@ -288,9 +291,9 @@ class Network:
             return
         allowed = good[: int((1 - recall) * len(good)) + 1]
         wrong = len(bad) - np.searchsorted(bad, allowed, "left")
-        least = allowed[np.argmin(wrong)]
-        below = bad[bad < least]
-        self.threshold = float((least + below[-1]) / 2 if len(below) else least / 2)
+        least = allowed[len(wrong) - 1 - np.argmin(wrong[::-1])]
+        below = p[p < least]
+        self.threshold = float((least + below.max()) / 2 if len(below) else least / 2)
 
 
 def train(findings: list[Finding], recall: float = 0.98) -> Network:
@@ -306,7 +309,7 @@ def train(findings: list[Finding], recall: float = 0.98) -> Network:
     x, of, y = np.concatenate(seen), np.array(of), np.array([f.secret for f in findings], np.float32)
     held = np.arange(len(y)) % 8 >= 6
     net = Network()
-    net.train(x[~held[of]], y[of][~held[of]])
+    net.train(x[~held[of]], y[of][~held[of]], passes=PASSES)
     if held.any():
         x, of = x[held[of]], of[held[of]]
         highest = np.full(len(y), -np.inf)
