@@ -132,7 +132,8 @@ def _send(window: int, buckets: int):
                 return _rolled(words, window, 0x1234567)[at[which]]
 
             dup = repeated(whole[at], second, ids[of], start)
-            rows = [(key % buckets, None, i, key, data) for i, key, data in _marks(ids, keys, of[dup], start[dup])]
+            # Marks only pass through; those of copies of a text are spread by their ids.
+            rows = [((key + int(GOLD) * i) % buckets, None, i, key, data) for i, key, data in _marks(ids, keys, of[dup], start[dup])]
             # An equal window at the same place of a row with the same id travels once for each text.
             go = np.flatnonzero(~dup)  # at least one: the earliest window of the block
             least = _least(_rolled(words, RUN), window - RUN + 1)[at[go]] if window > RUN else whole[at[go]]
