@@ -153,8 +153,11 @@ def _leaves(stand: DataFrame, small: int) -> DataFrame:
 
 def _dealt(rows: DataFrame, key: str, n: str, id_: str, block: int) -> DataFrame:
     """rows, each with the pairs of blocks (bi <= bj) of its group that it is compared in; groups of up to `block` rows
-    are one block.  `mine` is the row's own block."""
-    count = F.ceil(F.col(n) / F.lit(block)).cast("int")
+    are one block.  Larger ones are cut into blocks of at most `block`, and of down to a quarter of that, so that there is
+    a pair of them for each task.  `mine` is the row's own block."""
+    spread = math.ceil(math.sqrt(2 * partitions(rows.sparkSession)))
+    few, many = F.ceil(F.col(n) / F.lit(block)), F.ceil(F.col(n) * 4 / F.lit(block))
+    count = F.when(F.col(n) <= block, 1).otherwise(F.greatest(few, F.least(many, F.lit(spread)))).cast("int")
     rows = rows.withColumn("nb", count).withColumn("mine", F.pmod(F.xxhash64(id_), F.col("nb")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(F.col("mine"), o).alias("bi"), F.greatest(F.col("mine"), o).alias("bj")))
     return rows.withColumn("pair", F.explode(pairs)).select("*", "pair.bi", "pair.bj").drop("pair", "nb")
