@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .tables import written
 from .words import Texts, blocks
 
 # The base patterns and their least lengths.
@@ -365,7 +366,8 @@ def corpus_findings(docs: DataFrame, text: str = "text", most: int = SAMPLE) ->
             columns = [pa.array([r[k] for r in rows], pa.binary()) for k in range(4)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([label] * len(rows), pa.int32())], ["key", "before", "body", "after", "label"])
 
-    found = docs.select(F.col(text).cast("string").alias("__text")).mapInArrow(run, "key binary, before binary, body binary, after binary, label int").dropDuplicates(["label", "key"])
+    made = docs.select(F.col(text).cast("string").alias("__text")).mapInArrow(run, "key binary, before binary, body binary, after binary, label int")
+    found = written(made.dropDuplicates(["label", "key"]))
     rows = [r for label in (0, 1) for r in found.where(F.col("label") == label).orderBy("key").limit(most).collect()]
     rows.sort(key=lambda r: bytes(r["key"]))
     return [Finding(bytes(r["before"]), bytes(r["body"]), bytes(r["after"]), r["label"] == 1) for r in rows]
