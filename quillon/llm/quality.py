@@ -7,7 +7,8 @@ text is an input: no id, language, source or label.
 
 The model is fitted on a bounded sample of the labelled training rows: those of least hash of their id, up to `rows`
 rows and, where texts are very long, up to `most` feature values in all (at least one row).  Features are made on the
-executors and written; what reaches the driver is no more than that.
+executors and written; what reaches the driver is no more than that, and comes in pieces of about `PIECE` values, for
+the driver's JVM holds each piece several times over.
 Scores are sparse dot products in numpy, a map over the partitions with the weights broadcast (2**bits floats).
 """
 
@@ -28,6 +29,8 @@ BITS = 18
 ROWS = 6000
 #: Feature values that the model is fitted on, at most, of 8 bytes each.
 MOST = 40_000_000
+#: Feature values that are sent to the driver at a time, about.
+PIECE = 1_000_000
 #: The class of each byte in a word's shape: small letter, capital, digit, or the byte itself.
 SHAPE = np.arange(256, dtype=np.uint8)
 SHAPE[97:123] = SHAPE[128:] = 97
@@ -132,8 +135,9 @@ def train(labelled: DataFrame, label: str, rows: int = ROWS, bits: int = BITS, k
         if last is not None and total > most and r.h != last:
             break
         last = r.h
-    made = vectors.where(F.col("h") <= F.lit(last)).orderBy(*order).limit(rows).collect() if sizes else []
-    return fit([(np.frombuffer(r.i, "<i4"), np.frombuffer(r.x, "<f4"), int(r.y == 1)) for r in made], bits)
+    chosen = vectors.where(F.col("h") <= F.lit(last)).orderBy(*order).limit(rows).repartition(total // PIECE + 1) if sizes else None
+    made = sorted((r.h, r.y, bytes(r.i), bytes(r.x)) for r in chosen.toLocalIterator()) if sizes else []
+    return fit([(np.frombuffer(i, "<i4"), np.frombuffer(x, "<f4"), int(y == 1)) for _, y, i, x in made], bits)
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column, rows: int = ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -877,6 +877,27 @@ def test_quality_of_long_texts_and_real_tables(spark):
     assert len({r["score"] for r in quality.scored(long, model).collect()}) == 1
 
 
+def test_quality_vectors_reach_the_driver_in_pieces(spark, monkeypatch):
+    """No job sends the driver more than a few pieces, and the model is that of all vectors."""
+    df, labels, _ = quality_tables(spark)
+    labelled = quality.sample(df, labels, "quality", F.lit(True))
+    frame, sent, given = type(df), [], []
+    size = lambda rows: sum(len(v) for r in rows for v in r if isinstance(v, bytes | bytearray))
+    collect, pieces, fit = frame.collect, frame.toLocalIterator, quality.fit
+    monkeypatch.setattr(frame, "collect", lambda self: sent.append(size(rows := collect(self))) or rows)
+    monkeypatch.setattr(frame, "toLocalIterator", lambda self, *a: sent.extend(self.rdd.glom().map(size).collect()) or pieces(self, *a))
+    monkeypatch.setattr(quality, "fit", lambda examples, *a: given.extend(examples) or fit(examples, *a))
+    monkeypatch.setattr(quality, "PIECE", 2000, raising=False)
+    model = quality.train(labelled, "quality")
+    assert len(given) == 240 and sum(sent) == 8 * sum(len(i) for i, _, _ in given) > 5 * 8 * 2000
+    assert max(sent) <= 2 * 8 * 2000
+    monkeypatch.setattr(quality, "PIECE", 10**9, raising=False)
+    assert (quality.train(labelled, "quality").weights == model.weights).all()
+    examples = {(r["doc_id"], r["quality"]): quality.features(column(pa.array([r["text"]]))) for r in collect(labelled)}
+    expected = sorted((i.astype("<i4").tobytes(), x.astype("<f4").tobytes(), y) for (_, y), (i, _, x) in examples.items())
+    assert sorted((i.tobytes(), x.tobytes(), y) for i, x, y in given[:240]) == expected
+
+
 def test_quality_features_are_counts():
     index, first, value = quality.features(column(pa.array(["a a b", "", "A a B"])))
     assert np.diff(first).tolist()[1] == 0 and abs((value[: first[1]] ** 2).sum() - 1) < 1e-9
