@@ -131,7 +131,10 @@ def _small(table: DataFrame) -> DataFrame:
 
 
 def _leaves(stand: DataFrame, small: int) -> DataFrame:
-    """(key, id, n): the buckets that sets are compared in, of n >= 2 sets each; at most `small`, but at the last level."""
+    """(key, id, n): the buckets that sets are compared in, of n >= 2 sets each; at most `small`, but at the last level.
+
+    A set's node goes on where its parent's bucket is large.  Each large bucket is one row of that join, so no node goes on
+    twice; what goes on is written, as it is both counted and kept."""
     out, large = None, None
     for level in range(2, LEVELS + 1):
         if large is None:
@@ -139,7 +142,7 @@ def _leaves(stand: DataFrame, small: int) -> DataFrame:
         else:
             up = F.expr(f"transform(up{level}, u -> get(path{level - 1}, u))")
             rows = stand.select("id", F.explode(F.arrays_zip(F.col(f"path{level}").alias("key"), up.alias("up"))).alias("x")).select("id", "x.key", "x.up")
-            rows = rows.join(_small(large), "up").select("key", "id")
+            rows = written(rows.join(_small(large), "up").select("key", "id"))
         counts = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
         fit = counts if level == LEVELS else counts.where(F.col("n") <= small)
         found = rows.join(_small(fit), "key")

@@ -388,6 +388,26 @@ def test_jaccard_odd_rows(spark, docs):
     assert sorted(r["doc_id"] or -1 for r in jaccard.one_of_each(df).collect()) == [-1, -1, 3, 5]
 
 
+def test_jaccard_large_buckets_go_on_once(spark, monkeypatch):
+    """Nodes below large buckets are joined once a level, each to one bucket, so their number follows the group's size."""
+    rnd = random.Random(6)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(120)]
+    df = spark.createDataFrame([(i, " ".join(base[: i % 120] + [f"c{i}"] + base[i % 120 + 1 :])) for i in range(800)], "doc_id bigint, text string")
+    stand = tables.written(jaccard.described(df, "doc_id", "text", 0.8, 19, 5))
+    frame, join = type(df), type(df).join
+    went = []
+    for n in (200, 400, 800):
+        joined = []
+        monkeypatch.setattr(frame, "join", lambda self, other, on=None, how=None: joined.append((on, self, out := join(self, other, on, how))) or out)
+        leaves = jaccard._leaves(stand.where(F.col("id") < n), 32)
+        monkeypatch.setattr(frame, "join", join)
+        assert "up#" not in leaves._jdf.queryExecution().optimizedPlan().toString()  # the joins are over, not made again
+        counts = [(left.count(), out.count()) for on, left, out in joined if on == "up"]
+        assert len(counts) == jaccard.LEVELS - 2 and all(0 < out <= left for left, out in counts)
+        went.append(sum(out for _, out in counts))
+    assert all(more <= 2.5 * less for less, more in zip(went, went[1:], strict=False))
+
+
 def test_components(spark):
     rnd = random.Random(2)
     links = [(rnd.randrange(80), rnd.randrange(80)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(200, 200 + i) for i in range(1, 40)] + [(7, 7), (None, 3)]
