@@ -238,7 +238,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keeps all.  Rows without id come last in this order and count as one document's rows; rows of equal id and start do
     not precede each other, so repeated rows keep or lose the same words.  Ids are integers.
     """
-    marks = written(repeats(docs, doc_id, text, window).groupBy("id", "key").agg(F.collect_list("marks").alias("marks")))
+    # The packed windows are most of the disk: their shuffle goes before that of the texts begins.
+    marks = written(repeats(docs, doc_id, text, window).groupBy("id", "key").agg(F.collect_list("marks").alias("marks")), free=True)
     joined = _keyed(docs, doc_id, text).join(marks, ["id", "key"], "left").select("id", "__text", "marks", "__none")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows that join_few() broadcasts, at most.
 BROADCAST_ROWS = 200_000
+#: Spark's setting (tried on 4.1.2) by which a statement's shuffle files are deleted as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders named by work_dir(), for clear().
 _made: list[str] = []
 
@@ -37,11 +39,22 @@ def clear(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df, written to the shared folder and read again: lineage ends there, and a lost executor costs no earlier work."""
+def written(df: DataFrame, codec: str = "zstd", free: bool = False) -> DataFrame:
+    """df, written to the shared folder and read again: lineage ends there, and a lost executor costs no earlier work.
+    With free, the shuffle files that it was made from are deleted as soon as it is written; else they stay until the
+    driver's JVM happens to collect garbage."""
     spark = df.sparkSession
     path = work_dir(spark)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    if free:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        if free and before is None:
+            spark.conf.unset(CLEANUP)
+        elif free:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

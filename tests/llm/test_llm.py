@@ -7,6 +7,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -720,6 +721,27 @@ def test_repeats_odd_rows(spark):
         repeats.without_repeats(df, window=1)
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_repeats_delete_the_shuffle_of_windows(spark, docs, adaptive):
+    folders = [f.getPath() for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffled():
+        return {name for folder in folders for _, _, names in os.walk(folder) for name in names if name.startswith("shuffle_")}
+
+    kept_before, set_before = shuffled(), spark.conf.get(tables.CLEANUP, None)
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        out = repeats.without_repeats(docs)  # writes the marks; the texts are shuffled to them when out is read
+        until = time.monotonic() + 5  # Spark deletes in the background
+        while shuffled() - kept_before and time.monotonic() < until:
+            time.sleep(0.1)
+        assert not shuffled() - kept_before
+        assert spark.conf.get(tables.CLEANUP, None) == set_before
+        assert {r["doc_id"]: r["kept_sha256"] for r in out.collect()} == {d: k[2] for d, k in kept(texts_of(docs), 20).items()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 # 8: fingerprints
 
 
