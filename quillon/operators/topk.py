@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.hashing import positions
+from ..functions.hashing import hashed, positions
 from ..functions.params import CountMinParams
 from ..sources.states import State
 from . import countmin
@@ -68,7 +70,26 @@ def top_k_sequentially(df: DataFrame, col: str, seq: str, group: str, params: Co
     return rows.groupBy("group").applyInPandas(run, f"group string, rank int, obj {dict(df.dtypes)[col]}")
 
 
+def _part(col: str, n: int) -> Column:
+    return F.pmod(hashed(col), F.lit(n)).alias("__part")
+
+
+def _parts(df: DataFrame, col: str, max_items: int) -> int:
+    """Into how many parts by hash the values of df are to be dealt, so that none has more than max_items distinct ones.
+    The first try aims at half of that by an estimate; the parts are then counted exactly."""
+    n = max(1, math.ceil(2 * df.agg(F.approx_count_distinct(col)).first()[0] / max_items))
+    while True:
+        sizes = df.select(F.col(col), _part(col, n)).distinct().groupBy("__part").count()
+        most = sizes.agg(F.max("count")).first()[0] or 0
+        if most <= max_items:
+            return n
+        n *= math.ceil(2 * most / max_items)
+
+
 def approx_top_k(df: DataFrame, col: str, k: int, max_items: int = 10_000) -> DataFrame:
-    """obj, n by the built-in sketch."""
-    found = df.agg(F.expr(f"approx_top_k({col}, {int(k)}, {int(max_items)})").alias("x"))
-    return found.select(F.explode("x").alias("x")).select(F.col("x.item").alias("obj"), F.col("x.count").alias("n"))
+    """obj, n by the built-in sketch, ties by the larger value.  A sketch counts up to max_items distinct values exactly,
+    and of more it may return too few or none; so the values are dealt by hash to as many sketches as that takes, and the
+    highest of all are kept.  NULL counts as a value, as it does for the built-in sketch."""
+    found = df.groupBy(_part(col, _parts(df, col, max_items))).agg(F.expr(f"approx_top_k({col}, {int(k)}, {int(max_items)})").alias("x"))
+    found = found.select(F.explode("x").alias("x")).select(F.col("x.item").alias("obj"), F.col("x.count").alias("n"))
+    return found.orderBy(F.desc("n"), F.desc("obj")).limit(k)

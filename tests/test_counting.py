@@ -197,6 +197,16 @@ def test_top_k(spark):
     assert {r["obj"] for r in topk.approx_top_k(df, "v", 2).collect()} == {99, 100}
 
 
+def test_approx_top_k_of_more_values_than_a_sketch_tracks(spark):
+    # 3000 values of at most 7 rows each: one sketch of 64 values returns none of them.
+    items = [v for v in range(3000) for _ in range(7 if v % 300 == 1 else 6 if v % 300 == 2 else 1 + v % 5)]
+    df = rows(spark, [*items, *[None] * 8])
+    found = [(r["obj"], r["n"]) for r in topk.approx_top_k(df, "v", 14, 64).collect()]
+    assert found == [(None, 8), *((v, 7) for v in range(2701, 0, -300)), *((v, 6) for v in range(2702, 1800, -300))][:14]
+    assert topk.approx_top_k(df.where("v < 0"), "v", 14, 64).count() == 0
+    assert topk.approx_top_k(df.where("v < 5"), "v", 14, 64).count() == 5
+
+
 def test_reservoir(spark):
     assert [r["v"] for r in reservoir.sample(rows(spark, range(10)), 10, "seq").collect()] == list(range(10))
     parts = rows(spark, [0] * 1500 + [1] * 7500 + [0] * 1000)
