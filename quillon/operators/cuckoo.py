@@ -114,18 +114,42 @@ class Slots:
         return None
 
 
-def insert_sequentially(df: DataFrame, col: str, seq: str, group: str, params: CuckooParams, seed: int = 0) -> DataFrame:
-    """group, seq, placed: for each group a filter of its own, filled row by row in the order of seq.  placed is true for
-    the first bucket, false for the second or after kicks, and NULL where the filter was full.  One task holds a group."""
+class Chain:
+    """The filters of a group, of which the last takes new copies.  further: where that is full, another of the same
+    parameters follows; nothing moves in the ones before, so they are not held."""
+
+    def __init__(self, params: CuckooParams, seed: int = 0, further: bool = False):
+        self.params, self.seed, self.further, self.number = params, seed, further, -1
+        self._open()
+
+    def _open(self) -> None:
+        # The partner of a kicked fingerprint needs its own hash, so the xor of its two buckets is kept.
+        self.slots, self.xor, self.number = Slots(self.params, self.seed), {}, self.number + 1
+
+    def _place(self, fp: int, i1: int, x: int) -> bool | None:
+        self.xor[fp] = x
+        return self.slots.insert(fp, i1, i1 ^ x, lambda place, f: place ^ self.xor[f])
+
+    def insert(self, fp: int, i1: int, x: int) -> tuple[bool | None, int | None]:
+        """What Slots.insert answers, and which filter took the copy."""
+        placed = self._place(fp, i1, x)
+        if placed is None and self.further:
+            self._open()
+            placed = self._place(fp, i1, x)
+        return placed, None if placed is None else self.number
+
+
+def insert_sequentially(df: DataFrame, col: str, seq: str, group: str, params: CuckooParams, seed: int = 0, further: bool = False) -> DataFrame:
+    """group, seq, placed, filter: for each group a filter of its own, filled row by row in the order of seq.  placed is
+    true for the first bucket, false for the second or after kicks, and NULL where the filter was full; or, with further,
+    the row and those after it go to another filter (0, 1, ...), and none is left out.  One task holds a group."""
     rows = keyed(df.where(F.col(col).isNotNull()), col, params)
-    # The partner of a kicked fingerprint needs its own hash, so that goes along as the xor of its two buckets.
     rows = rows.select(F.col(group).cast("string").alias("group"), F.col(seq).cast("long").alias("seq"), "fp", "i1", F.col("b_lo").bitwiseXOR(F.col("b_hi")).alias("x"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        slots, xor = Slots(params, seed), dict(zip(pdf["fp"], pdf["x"], strict=True))
-        placed = [slots.insert(f, i, i ^ x, lambda place, fp: place ^ xor[fp]) for f, i, x in zip(pdf["fp"], pdf["i1"], pdf["x"], strict=True)]
-        return pd.DataFrame({"group": pdf["group"], "seq": pdf["seq"], "placed": pd.array(placed, dtype="boolean")})
-
-    return rows.groupBy("group").applyInPandas(run, "group string, seq long, placed boolean")
+        chain = Chain(params, seed, further)
+        placed = [chain.insert(*row) for row in zip(pdf["fp"], pdf["i1"], pdf["x"], strict=True)]
+        return pd.DataFrame({"group": pdf["group"], "seq": pdf["seq"], "placed": pd.array([p for p, _ in placed], dtype="boolean"), "filter": pd.array([n for _, n in placed], dtype="Int32")})
 
+    return rows.groupBy("group").applyInPandas(run, "group string, seq long, placed boolean, filter int")

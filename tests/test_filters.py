@@ -113,6 +113,30 @@ def test_cuckoo_in_slots_matches_the_multiset(spark):
     assert placed.count() == cuckoo.length(cuckoo.build(df, "v", p)) == 150
 
 
+def test_cuckoo_rows_beyond_a_full_filter_go_to_a_further_one(spark):
+    from pyspark.sql import functions as F
+
+    p = CuckooParams(2, 8, 12)
+    df = rows(spark, [*range(60), *[7] * 9]).withColumn("g", F.lit("a"))
+    alone = cuckoo.insert_sequentially(df, "v", "seq", "g", p).orderBy("seq").collect()
+    chained = cuckoo.insert_sequentially(df, "v", "seq", "g", p, further=True).orderBy("seq").collect()
+    full = next(i for i, r in enumerate(alone) if r["placed"] is None)
+    assert alone[:full] == chained[:full] and {r["filter"] for r in alone} == {0, None}
+    assert all(r["placed"] is not None for r in chained) and len(chained) == 69
+    numbers = [r["filter"] for r in chained]
+    assert numbers == sorted(numbers) and set(numbers) == set(range(max(numbers) + 1))
+    assert max(map(numbers.count, numbers)) <= 16
+
+
+def test_cuckoo_sequential_stores_more_rows_than_a_filter_has_slots(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quillon import catalog
+
+    spark.range(17_000).select(F.col("id").alias("c_custkey"), (F.col("id") % 100 == 99).cast("int").alias("c_nationkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    assert {r["g"]: r["stored"] for r in catalog.QUERIES["cuckoo_sequential"](spark, str(tmp_path)).collect()} == {"0": 16_830, "1": 170}
+
+
 def test_quotient(spark):
     p = QuotientParams(3, 16)
     flags = quotient.insert_flags(rows(spark, [13, 13]), "v", "seq", p).orderBy("seq").collect()
