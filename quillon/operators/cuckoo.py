@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import random
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import hashed, whole
 from ..functions.params import CuckooParams
+from ..plans.ordered import folded
 from ..sources.states import State, check_same
 
 #: How often a copy is moved on before a filter counts as full.
@@ -139,17 +140,27 @@ class Chain:
         return placed, None if placed is None else self.number
 
 
+class _Fold:
+    """A chain, fed a batch of rows (group, seq, fp, i1, x) at a time."""
+
+    def __init__(self, chain: Chain):
+        self.chain = chain
+
+    def add(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        placed = [self.chain.insert(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("fp", "i1", "x")), strict=True)]
+        answers = [pa.array([p for p, _ in placed], pa.bool_()), pa.array([n for _, n in placed], pa.int32())]
+        return pa.RecordBatch.from_arrays([batch.column("group"), batch.column("seq"), *answers], ["group", "seq", "placed", "filter"])
+
+    def end(self) -> None:
+        return None
+
+
 def insert_sequentially(df: DataFrame, col: str, seq: str, group: str, params: CuckooParams, seed: int = 0, further: bool = False) -> DataFrame:
     """group, seq, placed, filter: for each group a filter of its own, filled row by row in the order of seq.  placed is
     true for the first bucket, false for the second or after kicks, and NULL where the filter was full; or, with further,
-    the row and those after it go to another filter (0, 1, ...), and none is left out.  One task holds a group."""
+    the row and those after it go to another filter (0, 1, ...), and none is left out.  One task reads a group, a batch at
+    a time."""
     rows = keyed(df.where(F.col(col).isNotNull()), col, params)
     rows = rows.select(F.col(group).cast("string").alias("group"), F.col(seq).cast("long").alias("seq"), "fp", "i1", F.col("b_lo").bitwiseXOR(F.col("b_hi")).alias("x"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        chain = Chain(params, seed, further)
-        placed = [chain.insert(*row) for row in zip(pdf["fp"], pdf["i1"], pdf["x"], strict=True)]
-        return pd.DataFrame({"group": pdf["group"], "seq": pdf["seq"], "placed": pd.array([p for p, _ in placed], dtype="boolean"), "filter": pd.array([n for _, n in placed], dtype="Int32")})
-
-    return rows.groupBy("group").applyInPandas(run, "group string, seq long, placed boolean, filter int")
+    return folded(rows, lambda: _Fold(Chain(params, seed, further)), "group string, seq long, placed boolean, filter int")

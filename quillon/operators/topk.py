@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import hashed, positions
 from ..functions.params import CountMinParams
+from ..plans.ordered import folded
 from ..sources.states import State
 from . import countmin
 
@@ -51,23 +53,45 @@ class Heap:
                 self.n[obj] = estimate
 
 
+class _Fold:
+    """A heap and a sketch, fed a batch of rows (group, seq, obj, at) at a time."""
+
+    def __init__(self, params: CountMinParams, k: int):
+        self.heap, self.last = Heap(k), None
+        self.cells = np.zeros((params.d, params.w), np.int64)
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.last = batch.slice(0, 1)
+        at = batch.column("at").flatten().to_numpy().reshape(batch.num_rows, -1)
+        estimates = np.min([_added(cells, at[:, i]) for i, cells in enumerate(self.cells)], axis=0)
+        for obj, estimate in zip(batch.column("obj").to_pylist(), estimates.tolist(), strict=True):
+            self.heap.add(obj, estimate)
+
+    def end(self) -> pa.RecordBatch:
+        n = self.heap.n
+        found = sorted(n, key=lambda o: (n[o], o))
+        group, kind = self.last.column("group"), self.last.column("obj").type
+        ranks = pa.array(range(1, len(found) + 1), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(group.to_pylist() * len(found), group.type), ranks, pa.array(found, kind)], ["group", "rank", "obj"])
+
+
+def _added(cells: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What a row of a sketch's cells holds at each place of at once that place is counted, one after the other."""
+    order = np.argsort(at, kind="stable")
+    placed = at[order]
+    first = np.flatnonzero(np.append(True, placed[1:] != placed[:-1]))
+    sizes = np.diff(np.append(first, len(placed)))
+    counts = np.empty_like(order)
+    counts[order] = cells[placed] + np.arange(1, len(placed) + 1) - np.repeat(first, sizes)
+    cells[placed[first]] += sizes
+    return counts
+
+
 def top_k_sequentially(df: DataFrame, col: str, seq: str, group: str, params: CountMinParams, k: int) -> DataFrame:
     """group, rank (from the least), obj: a heap and a sketch for each group, fed row by row in the order of seq.  One task
-    holds a group."""
+    reads a group, a batch at a time."""
     rows = df.where(F.col(col).isNotNull()).select(F.col(group).cast("string").alias("group"), F.col(seq).alias("seq"), F.col(col).alias("obj"), positions(col, params.w, params.d, params.family).alias("at"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        heap, cells = Heap(k), {}
-        for obj, at in pdf.sort_values("seq")[["obj", "at"]].itertuples(index=False):
-            keys = list(enumerate(at))
-            estimate = min(cells.get(c, 0) for c in keys) + 1
-            for c in keys:
-                cells[c] = cells.get(c, 0) + 1
-            heap.add(obj, estimate)
-        found = sorted(heap.n, key=lambda o: (heap.n[o], o))
-        return pd.DataFrame({"group": pdf["group"].iloc[0], "rank": range(1, len(found) + 1), "obj": found})
-
-    return rows.groupBy("group").applyInPandas(run, f"group string, rank int, obj {dict(df.dtypes)[col]}")
+    return folded(rows, lambda: _Fold(params, k), f"group string, rank int, obj {dict(df.dtypes)[col]}")
 
 
 def _part(col: str, n: int) -> Column:

@@ -197,6 +197,67 @@ def test_top_k(spark):
     assert {r["obj"] for r in topk.approx_top_k(df, "v", 2).collect()} == {99, 100}
 
 
+def test_sequential_forms_read_a_group_in_batches(spark):
+    import random
+
+    from quillon.functions.params import CuckooParams
+    from quillon.operators import cuckoo
+
+    rnd = random.Random(1)
+    data = [(i, rnd.choice(["a", "b", "b", "b", None]), None if i % 50 == 0 else f"v{min(int(rnd.expovariate(0.15)), 40)}") for i in range(600)]
+    rnd.shuffle(data)
+    df = spark.createDataFrame(data, "seq bigint, g string, v string").repartition(3)
+    p, small = CountMinParams(7, 3), CuckooParams(2, 8, 12)
+    spots = {r["v"]: r["x"] for r in df.select("v", positions("v", p.w, p.d, p.family).alias("x")).distinct().collect()}
+    expected = []
+    for g in ("a", "b", None):
+        heap, cells = topk.Heap(4), {}
+        for v in (v for _, at, v in sorted(data) if at == g and v is not None):
+            keys = list(enumerate(spots[v]))
+            for c in keys:
+                cells[c] = cells.get(c, 0) + 1
+            heap.add(v, min(cells[c] for c in keys))
+        expected += [(g, rank, v) for rank, v in enumerate(sorted(heap.n, key=lambda o: (heap.n[o], o)), 1)]
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        got = []
+        for rows_a_batch in (7, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+            top = topk.top_k_sequentially(df, "v", "seq", "g", p, 4)
+            assert sorted(map(tuple, top.collect()), key=str) == sorted(expected, key=str)
+            placed = cuckoo.insert_sequentially(df, "v", "seq", "g", small, further=True)
+            got.append(sorted(map(tuple, placed.collect()), key=str))
+            assert not any("FlatMapGroupsInPandas" in x._jdf.queryExecution().toString() for x in (top, placed))
+        assert got[0] == got[1] and len(got[0]) == 588
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
+def test_groups_are_folded_by_batches(spark):
+    import pyarrow as pa
+
+    from quillon.plans.ordered import folded
+
+    class Fold:
+        def __init__(self):
+            self.seqs, self.most = [], 0
+
+        def add(self, batch):
+            self.group, self.most = batch.column("group"), max(self.most, batch.num_rows)
+            self.seqs += batch.column("seq").to_pylist()
+
+        def end(self):
+            right = self.seqs == sorted(self.seqs)
+            return pa.RecordBatch.from_pydict({"group": self.group.slice(0, 1), "n": [len(self.seqs)], "most": [self.most], "right": [right]})
+
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")).alias("group"), (-F.col("id")).alias("seq"))
+    found = {r["group"]: r for r in folded(df, Fold, "group string, n long, most long, right boolean").collect()}
+    assert set(found) == {None, "1", "2"}
+    assert all(r["n"] == 10_000 and r["right"] for r in found.values())
+    one = folded(spark.range(25_000).select(F.lit("a").alias("group"), F.col("id").alias("seq")), Fold, "group string, n long, most long, right boolean").collect()
+    assert len(one) == 1 and one[0]["n"] == 25_000 and one[0]["most"] == 10_000
+
+
 def test_approx_top_k_of_more_values_than_a_sketch_tracks(spark):
     # 3000 values of at most 7 rows each: one sketch of 64 values returns none of them.
     items = [v for v in range(3000) for _ in range(7 if v % 300 == 1 else 6 if v % 300 == 2 else 1 + v % 5)]
